@@ -24,6 +24,8 @@ from .common import documents
 
 WINDOW, GRAM = 100, 36
 HEAVY = 4096
+#: Contexts are sorted in pieces of about so many bytes, which bounds a bucket's memory.
+PIECE = 1 << 18
 #: Windows are looked at in stretches of so many.
 STRETCH = 1 << 20
 _U = np.uint64
@@ -199,6 +201,18 @@ def repeats_of(contexts: list[bytes], left: np.ndarray, count: np.ndarray, gram:
     return flags
 
 
+def pieces(number: np.ndarray, size: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Stretches of sorted group numbers that keep groups together and hold about `most` bytes, or one larger group."""
+    edges = np.append(np.flatnonzero(np.diff(number, prepend=-1)), len(number)).tolist()
+    total = np.concatenate([[0], np.cumsum(size)]).tolist()
+    out, at = [], 0
+    for k in range(1, len(edges)):
+        if total[edges[k]] - total[at] >= most or k == len(edges) - 1:
+            out.append((at, edges[k]))
+            at = edges[k]
+    return out
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     return b"".join([np.array([len(arrays[0])], np.uint32).tobytes(), *(a.tobytes() for a in arrays)])
 
@@ -326,10 +340,13 @@ def later_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, heavy
                 gone.setdefault(int(block[x]), []).append((first[x : x + 1], first[x : x + 1] + count[x] - 1))
             _, number, times = np.unique(g[heads], return_inverse=True, return_counts=True)
             heads, number = heads[times[number] > 1], number[times[number] > 1]
-            if len(heads):
-                flags = repeats_of([body[begin[x] : begin[x] + size[x]] for x in heads.tolist()], left[heads], count[heads], number, rank[heads], window)
-                start = np.arange(len(flags)) - np.repeat(np.cumsum(count[heads]) - count[heads], count[heads]) + np.repeat(first[heads], count[heads])
-                of = np.repeat(block[heads], count[heads])[flags]
+            by_number = np.argsort(number, kind="stable")
+            heads, number = heads[by_number], number[by_number]
+            for i, j in pieces(number, size[heads], PIECE):
+                part = heads[i:j]
+                flags = repeats_of([body[begin[x] : begin[x] + size[x]] for x in part.tolist()], left[part], count[part], number[i:j], rank[part], window)
+                start = np.arange(len(flags)) - np.repeat(np.cumsum(count[part]) - count[part], count[part]) + np.repeat(first[part], count[part])
+                of = np.repeat(block[part], count[part])[flags]
                 start = start[flags]
                 for b in np.unique(of).tolist():
                     gone.setdefault(b, []).append(_runs(np.sort(start[of == b])))
