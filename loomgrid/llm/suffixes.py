@@ -94,7 +94,8 @@ def anchors(data: np.ndarray, starts: np.ndarray, window: int, gram: int) -> tup
         head[1:] = (at[1:] != at[:-1]) | (where[1:] != where[:-1] + 1)
         first = np.flatnonzero(head)
         last = np.append(first[1:], len(at)) - 1
-        found.append((at[first] + a, where[first] + a, where[last] + a, g[at[first]]))
+        # Least hashes crowd near zero; hashed again, they fill the buckets evenly.
+        found.append((at[first] + a, where[first] + a, where[last] + a, mixed(g[at[first]] * _U(0x9FB21C651E98DF25))))
     if not found:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, _U),)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
