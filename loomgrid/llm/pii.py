@@ -75,7 +75,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 ZONE = re.compile(r"(?<!\S)(?:\S*[0-9@]\S*)(?:[ ]\S*[0-9@]\S*)*")
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]")
-N_FEATURES = 20
+N_FEATURES = 23
 
 
 def zones(text: str) -> Iterator[tuple[int, str]]:
@@ -122,6 +122,9 @@ def features(zone: str, start: int, end: int) -> list[float]:
         float(right.isalnum() or right in ("@", "_") if right else False),
         float(bool(re.search(r"[.-]$", left)) and bool(re.search(r"[0-9][.-]$", zone[:start][-2:]))),
         float(bool(re.match(r"[.-]?[0-9]", zone[end : end + 2]))),
+        float(at and bool(re.match(r"[.-][A-Za-z0-9]", zone[end : end + 2]))),
+        float(at and bool(re.search(r"[A-Za-z0-9][._%+-]$", zone[:start][-2:]))),
+        float(number and bool(re.match(r"[ ()-]{1,2}[0-9]", zone[end : end + 3]))),
     ]
 
 
