@@ -23,7 +23,7 @@ _SCHEMA = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("kind", pa.
 
 def dealt(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
     """(block, doc_id, text) and the number of blocks. Rows with one doc_id share a block."""
-    n = block_count(docs, block_bytes)
+    n = block_count(docs, block_bytes, text_col)
     d = id_and_text(docs, id_col, text_col)
     return d.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block"), "doc_id", "text"), n
 

@@ -45,9 +45,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def block_count(docs: DataFrame, block_bytes: int) -> int:
-    """So many blocks that one holds about block_bytes of input; at least one for each shuffle partition."""
-    return max(shuffle_partitions(docs.sparkSession), -(-min(estimated_bytes(docs), 1 << 50) // block_bytes))
+def block_count(docs: DataFrame, block_bytes: int, text_col: str = "text") -> int:
+    """So many blocks that one holds about block_bytes of input; at least one for each shuffle partition.
+
+    Tables that aren't scans of files have no estimate of use (of an unknown size the planner assumes the most); their
+    texts' bytes are summed.
+    """
+    size = estimated_bytes(docs)
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    if leaves.size() != 1 or not leaves.head().getClass().getSimpleName().startswith("LogicalRelation") or size >= 1 << 50:
+        size = pick(docs, text=text_col).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return max(shuffle_partitions(docs.sparkSession), -(-size // block_bytes))
 
 
 def shared_folder(spark: SparkSession) -> str:
