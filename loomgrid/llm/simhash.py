@@ -1,14 +1,17 @@
 """SimHash near-duplicates: fingerprints, and a self-join of their binary trie.
 
 Two nodes of the trie of distinct fingerprints are visited together as long as the bits in which their prefixes differ
-are within the budget. The top levels are walked by the exchange, which deals every pair of subtrees within budget to
-one task; each task walks the rest and returns a spanning forest of the links it finds, never all pairs.
+are within the budget. Fingerprints within the budget agree in all but `budget` of more blocks of bits, so the trie is
+built once for each choice of agreeing blocks, these bits first: there the budget is nothing, below it the whole, and
+few node pairs live on. The exchange deals each trie's subtrees to tasks; a subtree with far more fingerprints than
+others is dealt as pairs of its parts. Each task returns a spanning forest of the links it finds, never all pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, comb, log2
+from itertools import combinations
+from math import ceil, log2
 
 import numpy as np
 import pandas as pd
@@ -17,14 +20,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, id_and_text, written
+from .common import documents, id_and_text, small, written
 from .components import stars
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 3
-#: A subtree dealt to a task holds about so many fingerprints; there are 2^LEAST_LEVELS subtrees at least.
-SUBTREE, LEAST_LEVELS = 1 << 20, 4
+#: A subtree dealt to a task holds about so many fingerprints; there are 2^LEAST_LEVELS subtrees at least. One is split
+#: if it has over twice its share and over LEAST_SPLIT.
+SUBTREE, LEAST_LEVELS, LEAST_SPLIT = 1 << 17, 4, 1 << 11
+#: From so many fingerprints on, one more block of bits is made, so that more bits agree.
+MORE_BLOCKS = (1 << 24, 1 << 32)
 #: Node pairs whose leaves make no more pairs than this are compared leaf by leaf; node pairs are walked in such chunks.
-LEAVES, CHUNK = 64, 1 << 17
+LEAVES, CHUNK = 64, 1 << 15
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -61,10 +67,11 @@ def _expand(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(total) - offsets + np.repeat(lo, n)
 
 
-def trie_links(a: np.ndarray, b: np.ndarray, same: bool, budget: int, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_links(a: np.ndarray, b: np.ndarray, same: bool, budget: int, depth: int, exact: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Walks two tries, given as sorted fingerprints that agree in their first `depth` bits each, together.
 
-    Yields (i, j) of leaves that differ in 1 to `budget` bits; with same, i < j.
+    Yields (i, j) of leaves that differ in 1 to `budget` bits; with same, i < j. Of pairs that differ in the first
+    `exact` bits any may be left out.
     """
     if not len(a) or not len(b):
         return
@@ -94,7 +101,7 @@ def trie_links(a: np.ndarray, b: np.ndarray, same: bool, budget: int, depth: int
             for y in (0, 1):
                 (al, ah), (bl, bh) = halves[0][x], halves[1][y]
                 diff = nodes[:, 4] + (x != y)
-                keep = (al < ah) & (bl < bh) & (diff <= budget)
+                keep = (al < ah) & (bl < bh) & (diff <= (0 if level < exact else budget))
                 if same:  # each pair of nodes once
                     keep &= al < bh
                     keep &= ~((x == 1) & (y == 0) & (nodes[:, 0] == nodes[:, 2]))
@@ -117,29 +124,54 @@ def forest(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return root
 
 
+def tries(n: int, budget: int) -> list[tuple[list[tuple[int, int]], int]]:
+    """The tries for n fingerprints: in which order each takes the blocks of bits (lowest bit, width), and how many bits agree."""
+    m = budget + 1 + sum(n > k for k in MORE_BLOCKS)
+    edges = [round(64 * i / m) for i in range(m + 1)]
+    blocks = [(low, high - low) for low, high in zip(edges[:-1], edges[1:], strict=True)]
+    return [([*head, *(b for b in blocks if b not in head)], sum(w for _, w in head)) for head in combinations(blocks, m - budget)]
+
+
+def reordered(fp, order: list[tuple[int, int]], shift_down, shift_up):  # noqa: ANN001, ANN201
+    """The fingerprint's blocks in the given order, highest first; for columns and arrays."""
+    out, place = None, 64
+    for low, width in order:
+        place -= width
+        part = shift_up(shift_down(fp, low, (1 << width) - 1), place)
+        out = part if out is None else out + part  # no two share a bit
+    return out
+
+
 def linked(fps: DataFrame, budget: int = MOST_BITS) -> DataFrame:
     """(a, b) links over distinct values fp whose components are those of all pairs within budget."""
     n = fps.count()
-    levels = max(LEAST_LEVELS, ceil(log2(max(n, 1) / SUBTREE)) if n > SUBTREE else 0)
-    masks = [m for m in range(1 << levels) if m.bit_count() <= budget]
-    assert len(masks) == sum(comb(levels, k) for k in range(min(budget, levels) + 1))
-    prefix = F.shiftrightunsigned("fp", 64 - levels)
-    dealt = fps.select("fp", prefix.alias("p"), F.explode(F.array(*(F.lit(m).cast("long") for m in masks))).alias("m"))
-    pair = F.least("p", F.col("p").bitwiseXOR(F.col("m"))) * (1 << levels) + F.greatest("p", F.col("p").bitwiseXOR(F.col("m")))
+    plan = tries(n, budget)
+    levels = min(*(exact for _, exact in plan), max(LEAST_LEVELS, ceil(log2(max(n, 1) / SUBTREE))))
+    limit = max(LEAST_SPLIT, 2 * n >> levels)
+    top = [F.shiftrightunsigned(reordered(F.col("fp"), order, lambda x, k, mask: F.shiftrightunsigned(x, k).bitwiseAND(F.lit(mask)), F.shiftleft), 64 - levels) for order, _ in plan]
+    each = fps.select("fp", F.posexplode(F.array(*top)).alias("trie", "p"))
+    # At most half as many as there are subtrees.
+    crowded = written(each.groupBy("trie", "p").count().where(F.col("count") > limit).select("trie", "p", F.ceil(2 * F.col("count") / limit).cast("int").alias("split")))
+    each = each.join(small(crowded), ["trie", "p"], "left").withColumn("split", F.coalesce("split", F.lit(1)))
+    each = each.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("split")).cast("int"))
+    dealt = each.select("fp", "trie", "p", "own", F.explode(F.sequence(F.lit(0), F.col("split") - 1)).alias("other"))
+    dealt = dealt.select("fp", "trie", "p", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = np.unique(pdf["fp"].to_numpy(np.int64).view(np.uint64))
-        first, second = divmod(int(pdf["pair"].iloc[0]), 1 << levels)
-        top = values >> np.uint64(64 - levels)
-        if first == second:
-            root = forest(len(values), trie_links(values, values, True, budget, levels))
+        order, exact = plan[int(pdf["trie"].iloc[0])]
+        fp, own, i, j = pdf["fp"].to_numpy(np.int64), pdf["own"].to_numpy(), int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        value = reordered(fp.view(np.uint64), order, lambda x, k, mask: (x >> np.uint64(k)) & np.uint64(mask), lambda x, k: x << np.uint64(k))
+        sort = np.lexsort((value, own))
+        fp, value, own = fp[sort], value[sort], own[sort]
+        if i == j:
+            root = forest(len(value), trie_links(value, value, True, budget, levels, exact))
         else:
-            a, b = values[top == first], values[top == second]
-            root = forest(len(values), ((i, j + len(a)) for i, j in trie_links(a, b, False, budget, levels)))
-        k = np.flatnonzero(root != np.arange(len(values)))
-        return pd.DataFrame({"a": values[k].view(np.int64), "b": values[root[k]].view(np.int64)})
+            a, b = value[own == i], value[own == j]
+            root = forest(len(value), ((x, y + len(a)) for x, y in trie_links(a, b, False, budget, levels, exact)))
+        k = np.flatnonzero(root != np.arange(len(value)))
+        return pd.DataFrame({"a": fp[k], "b": fp[root[k]]})
 
-    return dealt.select("fp", pair.alias("pair")).groupBy("pair").applyInPandas(walk, "a long, b long")
+    return dealt.groupBy("trie", "p", "i", "j").applyInPandas(walk, "a long, b long")
 
 
 def near_groups(docs: DataFrame, shingle: int = SHINGLE, budget: int = MOST_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
