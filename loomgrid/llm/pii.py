@@ -28,7 +28,7 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 DIGITS = re.compile(r"[^0-9]+")
 
-#: Zones taken for training, their longest length, and the longest segment in tokens.
+#: Pieces of zones taken for training, their longest length, and the longest segment in tokens.
 TRAINING_ZONES, ZONE_CHARS, SEGMENT_TOKENS = 1500, 240, 24
 #: A segment is added if the field gives it at least this probability.
 LEAST_POSTERIOR = 0.9
@@ -78,15 +78,26 @@ TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]")
 N_FEATURES = 23
 
 
+def _could_hold(zone: str) -> bool:
+    """Whether a segment of the zone can be a candidate."""
+    return "@" in zone or sum(c.isdigit() for c in zone) >= 7 or zone.count(".") >= 3
+
+
 def zones(text: str) -> Iterator[tuple[int, str]]:
-    """Stretches of neighbouring chunks that hold a digit or an @, cut into pieces of bounded length."""
+    """Stretches of neighbouring chunks that hold a digit or an @, whole."""
     if "@" not in text and not DIGIT.search(text):
         return
     for m in ZONE.finditer(text):
-        for start in range(m.start(), m.end(), ZONE_CHARS):
-            zone = text[start : min(m.end(), start + ZONE_CHARS)]
-            if "@" in zone or sum(c.isdigit() for c in zone) >= 7 or zone.count(".") >= 3:
-                yield start, zone
+        if _could_hold(m[0]):
+            yield m.start(), m[0]
+
+
+def pieces(text: str) -> Iterator[str]:
+    """The zones cut into pieces of bounded length: what the training sample is taken from."""
+    for _, zone in zones(text):
+        for start in range(0, len(zone), ZONE_CHARS):
+            if _could_hold(piece := zone[start : start + ZONE_CHARS]):
+                yield piece
 
 
 def features(zone: str, start: int, end: int) -> list[float]:
@@ -120,10 +131,10 @@ def features(zone: str, start: int, end: int) -> list[float]:
         float(letters and "@" not in s),
         float(left.isalnum() or left in ("+", "@", "_") if left else False),
         float(right.isalnum() or right in ("@", "_") if right else False),
-        float(bool(re.search(r"[.-]$", left)) and bool(re.search(r"[0-9][.-]$", zone[:start][-2:]))),
+        float(bool(re.search(r"[.-]$", left)) and bool(re.search(r"[0-9][.-]$", zone[max(0, start - 2) : start]))),
         float(bool(re.match(r"[.-]?[0-9]", zone[end : end + 2]))),
         float(at and bool(re.match(r"[.-][A-Za-z0-9]", zone[end : end + 2]))),
-        float(at and bool(re.search(r"[A-Za-z0-9][._%+-]$", zone[:start][-2:]))),
+        float(at and bool(re.search(r"[A-Za-z0-9][._%+-]$", zone[max(0, start - 2) : start]))),
         float(number and bool(re.match(r"[ ()-]{1,2}[0-9]", zone[end : end + 3]))),
     ]
 
@@ -134,7 +145,8 @@ class Lattice:
     def __init__(self, zone: str):
         tokens = [(m.start(), m.end()) for m in TOKEN.finditer(zone)]
         self.n, self.tokens = len(tokens), tokens
-        spans, rows = [], []
+        # The features are all 0 or 1; long zones have many rows.
+        spans, rows = [], bytearray()
         for i, (a, _) in enumerate(tokens):
             if not (zone[a].isalnum() or zone[a] in "+(") or (i and zone[a].isalnum() and zone[tokens[i - 1][0]].isalnum()):
                 continue
@@ -145,9 +157,9 @@ class Lattice:
                     continue
                 if "@" in s or sum(c.isdigit() for c in s) >= 7 or s.count(".") == 3:
                     spans.append((i, j))
-                    rows.append(features(zone, a, b))
+                    rows += bytes(map(int, features(zone, a, b)))
         self.spans = spans
-        self.x = np.array(rows).reshape(len(rows), N_FEATURES)
+        self.x = np.frombuffer(rows, np.uint8).reshape(len(spans), N_FEATURES)
 
     def at(self, k: int) -> tuple[int, int]:
         i, j = self.spans[k]
@@ -261,11 +273,11 @@ def without_overlaps(spans: list[tuple[int, int, int]]) -> list[tuple[int, int,
 
 
 def labelled_zones(docs: DataFrame, limit: int = TRAINING_ZONES) -> list[tuple[str, list[tuple[int, int, int]]]]:
-    """At most `limit` zones of bounded length, those of least hash: the classifier's training sample."""
+    """At most `limit` pieces of zones, those of least hash: the classifier's training sample."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [z for text in batch.column("text").to_pylist() if text for _, z in zones(text)]
+            found = [z for text in batch.column("text").to_pylist() if text for z in pieces(text)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["zone"])
 
     rows = docs.select("text").mapInArrow(take, "zone string").groupBy("zone").count().orderBy(F.xxhash64("zone"), "zone").limit(limit).collect()
@@ -306,8 +318,8 @@ def find_pii(docs: DataFrame, weights: np.ndarray | None = None, id_col: str = "
 
     spans lists kind:start:end in code points, by kind, then start. Null and empty texts have none. Rows are
     independent: repeated rows and null ids come out as they are, other columns are not read, an empty table gives an
-    empty result (the field is then trained on invented zones alone). A zone longer than ZONE_CHARS is cut for the
-    field only; the patterns see whole texts.
+    empty result (the field is then trained on invented zones alone). The field sees whole zones; only its training
+    sample is of pieces of them.
     """
     d = id_and_text(docs, id_col, text_col)
     weights = fit(d) if weights is None else weights

@@ -166,6 +166,17 @@ def test_field_s_dynamic_program_is_exact():
     assert np.allclose(p, lattice.marginals(weights))
 
 
+@pytest.mark.parametrize("sep", [" ", ",", ";"])
+def test_field_sees_whole_zones(sep):
+    """A segment is found wherever it lies in a long zone, and once: in a single-spaced list and in text without blanks."""
+    weights = pii.train(pii.invented())
+    for start in range(pii.ZONE_CHARS - 16, pii.ZONE_CHARS + 3):
+        before = "a" * (start % 4) + ("ab1" + sep) * (start // 4)
+        text = before + "(555) 123-4567" + (sep + "ab1") * 70
+        assert pii.spans_of(text, weights)[1] == [(3, len(before), len(before) + 14)], start
+        assert pii.masked(text, weights) == before + "<PHONE>" + (sep + "ab1") * 70
+
+
 def test_masking():
     weights = pii.train(pii.invented(60, seed=3), epochs=2)
     assert pii.masked(None, weights) is None and pii.masked("", weights) == ""
