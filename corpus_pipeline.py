@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrid.llm import decontamination, mixing, pii, simhash, toxicity
-from loomgrid.llm.common import pick, written
+from loomgrid.llm.common import pick, small, written
 
 #: SQL can't express the fitted models and the fingerprints' hash.
 ORACLE_SQL = None
@@ -23,6 +23,11 @@ def _document_columns(docs: DataFrame) -> DataFrame:
     return pick(docs, **{c: c for c in COLUMNS})
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The documents with a written key, row, that tells all rows apart, whatever their doc_ids."""
+    return written(_document_columns(docs).withColumn("row", F.monotonically_increasing_id()))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain doesn't call toxic, unchanged. Each row is judged by itself."""
     docs = _document_columns(docs)
@@ -53,11 +58,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any benchmark window, unchanged. Rows without doc_id are judged by their texts."""
-    docs = _document_columns(docs)
-    hit = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated")
-    ids = written(hit.select(F.col("doc_id").alias("hit_id")).distinct())
-    return docs.join(ids, docs.doc_id.eqNullSafe(ids.hit_id), "left_anti")
+    """Documents without any benchmark window, unchanged. Each row is judged by its own text, also without doc_id or with a shared one."""
+    docs = _keyed(docs)
+    hit = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="row").where("contaminated")
+    rows = written(hit.select(F.col("doc_id").alias("row")))
+    return docs.join(small(rows), "row", "left_anti").select(*COLUMNS)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
