@@ -83,13 +83,11 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with copies: how often each goes into the training data."""
-    docs = _document_columns(docs)
-    mixed = mixing.mix(docs).where("taken > 0")
-    # taken is a multiple of size; rows that share a doc_id are put together again by their source and size, too.
-    amounts = mixed.withColumn("copies", (F.col("taken") / F.col("size")).cast("long")).groupBy("doc_id", "size").agg(F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.max("taken").alias("taken"), F.max("copies").alias("copies"))
-    sized = docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).cast("long"))
-    amounts = amounts.select(F.col("doc_id").alias("d"), F.col("size").alias("s"), "source_size", "target", "taken", "copies")
-    return sized.join(amounts, sized.doc_id.eqNullSafe(F.col("d")) & (sized["size"] == F.col("s"))).drop("d", "s")
+    docs = _keyed(docs)
+    mixed = mixing.mix(docs, row_col="row").where("taken > 0")
+    # taken is a multiple of size.
+    amounts = written(mixed.select("row", "size", "source_size", "target", "taken", (F.col("taken") / F.col("size")).cast("long").alias("copies")))
+    return docs.join(small(amounts), "row").drop("row")
 
 
 STAGES = [

@@ -50,16 +50,18 @@ def _key(share: Column) -> Column:
     return F.floor(odds / (1 + odds) * float(1 << KEY_BITS)).cast("long")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of docs.
 
     Size counts words; null and empty texts have none and take none. A null source is a source, last in order. Rows
     with one doc_id share their random number and are told apart by a row number, so each counts once. Reruns agree.
     Other columns are not read; an empty table gives an empty result. taken is copies times size, at most `most`.
+    With row_col, that column (a long, another one in every row) is the row number and comes first in the result, as row.
     """
-    sized = pick(docs, doc_id=id_col, text=text_col, source=source_col).select(
+    row = {"row": row_col} if row_col else {}
+    sized = pick(docs, doc_id=id_col, text=text_col, source=source_col, **row).select(
         F.col("doc_id").cast("long").alias("doc_id"), "source",
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.monotonically_increasing_id().alias("row"),
+        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.col("row") if row_col else F.monotonically_increasing_id().alias("row"),
     )
     sized = written(sized)
     sources = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
@@ -101,7 +103,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, id_c
     pick_one = written(rest.groupBy("s2").agg(F.max(F.struct("size", (-F.col("key")).alias("k"), (-F.col("doc_id")).alias("d"), "row")).alias("b")).select(F.col("b.row").alias("row"), F.lit(1).alias("extra")))
     full = marked.join(small(pick_one), "row", "left")
     copies = F.col("whole") + F.when(F.col("extra").isNotNull(), 1).otherwise(F.col("more"))
-    return full.select("doc_id", "size", "source_size", "target", F.coalesce(copies * F.col("size"), F.lit(0)).cast("long").alias("taken"))
+    return full.select(*row, "doc_id", "size", "source_size", "target", F.coalesce(copies * F.col("size"), F.lit(0)).cast("long").alias("taken"))
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

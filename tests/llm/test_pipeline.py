@@ -31,3 +31,16 @@ def test_contamination_is_judged_by_row(spark, folder):
     got = corpus_pipeline.drop_contaminated(spark, docs, folder)
     assert got.columns == docs.columns
     assert kept(got) == as_sorted(clean)
+
+
+def test_mix_takes_rows_and_not_ids(spark, folder):
+    """Rows without doc_id and of equal size in several sources: each source comes near its target, and its figures are its own."""
+    rows = [(None, prose(k, 10), s) for k, s in enumerate(["books"] * 40 + ["code"] * 40 + ["web"] * 40)]
+    got = corpus_pipeline.mix_sources(spark, documents(spark, rows), folder)
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "size", "source_size", "target", "taken", "copies"]
+    got = got.collect()
+    assert len({r.text for r in got}) == len(got) and all(r.taken == r.copies * r.size for r in got)
+    for place, source in enumerate(("books", "code", "web")):
+        own = [r for r in got if r.source == source]
+        assert {r.target for r in own} == {1200 * (5, 2, 1)[place] / 8}
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 10
