@@ -43,18 +43,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: the one of least doc_id; of rows that share it, one. A row without doc_id stays.
+    """One document of each SimHash group: the one of least doc_id, nulls last; of rows that share it, of least text hash.
 
-    Documents without words share a fingerprint like any other, so one of them stays.
+    Groups are of rows, so rows that share a doc_id and differ in text can be in several. Documents without words share
+    a fingerprint like any other, so one of them stays. Reruns agree: what remains equal in order is equal in all columns.
     """
-    docs = _document_columns(docs)
-    groups = simhash.near_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = written(groups)
-    one = docs.join(kept, "doc_id", "left_semi")
-    repeated = written(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"))
-    single = one.join(repeated, "doc_id", "left_anti")
-    few = one.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(few).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    docs = _keyed(docs)
+    groups = written(simhash.near_groups(docs, id_col="row").select(F.col("doc_id").alias("row"), "component_id"))
+    order = docs.select("row", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.sha2("text", 256).alias("text"), "source", "lang", "n_chars", "row").alias("order"))
+    kept = written(groups.join(order, "row").groupBy("component_id").agg(F.min("order").alias("first")).select("first.row"))
+    dropped = written(groups.select("row").join(small(kept), "row", "left_anti"))
+    return docs.join(small(dropped), "row", "left_anti").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

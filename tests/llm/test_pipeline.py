@@ -44,3 +44,14 @@ def test_mix_takes_rows_and_not_ids(spark, folder):
         own = [r for r in got if r.source == source]
         assert {r.target for r in own} == {1200 * (5, 2, 1)[place] / 8}
         assert abs(sum(r.taken for r in own) - own[0].target) <= 10
+
+
+def test_near_copies_are_dropped_by_row(spark, folder):
+    """One row of each group stays, also of rows without doc_id; rows that share a doc_id and differ in text are in groups of their own."""
+    a, b, c, d = (prose(k, 60) for k in range(4))
+    once = [(1, a, "web"), (1, b, "web"), (None, c, "web"), (4, d, "code"), (None, "", "web")]
+    copies = [(3, a, "code"), (None, a, "web"), (None, a.upper(), "web"), (2, b, "web"), (None, c, "web"), (4, d, "code"), (None, None, "zine")]
+    got = kept(corpus_pipeline.drop_near_copies(spark, documents(spark, once[:4]).unionByName(spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in once[4:] + copies], COLUMNS)), folder))
+    wordless = [r for r in got if not r[1]]
+    assert len(wordless) == 1
+    assert as_sorted(r for r in got if r[1]) == as_sorted(once[:4])
