@@ -142,5 +142,11 @@ def with_defaults(df: DataFrame, schema: dict, defaults: bool = True, nulls: boo
 
 def without_nulls(df: DataFrame, schema: dict) -> DataFrame:
     """Rows as JSON text `value`, null properties left out whose type forbids null and which have no default."""
-    keep = [F.when(F.lit("null" in types_of(schema.get("properties", {}).get(c, {"type": "null"}))), F.col(c)).otherwise(F.col(c)).alias(c) for c in df.columns]
-    return df.withColumn("value", F.to_json(F.struct(*keep)))
+
+    def part(name: str) -> Column:
+        sub = schema.get("properties", {}).get(name, {"type": "null"})
+        text = F.to_json(F.struct(F.col(f"`{name}`").alias(name)), {"ignoreNullFields": "false"})
+        inner = F.substr(text, F.lit(2), F.length(text) - 2)
+        return inner if "null" in types_of(sub) or "default" in sub else F.when(~is_null(F.col(f"`{name}`"), df.schema[name].dataType), inner)
+
+    return df.withColumn("value", F.concat(F.lit("{"), F.concat_ws(",", *map(part, df.columns)), F.lit("}")))
