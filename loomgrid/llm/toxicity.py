@@ -1,172 +1,273 @@
 """Toxicity by a classifier chain.
 
-Categories are predicted one after the other by linear models over hashed words; each model also sees the earlier
-categories' probabilities. In training those come from models fitted without the document's fold, as they will at use.
+Categories are predicted one after the other by linear models over a text's marks; each model also sees the earlier
+categories' probabilities. In training those come from models fitted without the document's fold, as they will at use;
+each such model also selects its marks without that fold.
+
+Marks are the words, the words' beginnings (so that inflected and compound forms share one), each with how often it
+occurs in steps of LEVELS, and the text's shape: its shares of capital words, of words with symbols and of repeats.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, id_and_text, pick, table
 
-#: Words are hashed into 2^BITS places. The models are fitted on at most TRAINING_ROWS labelled documents.
-BITS, TRAINING_ROWS, FOLDS, EPOCHS = 18, 8000, 5, 150
-#: The chain's order; low quality comes first, as its signs (shouting, junk) are not toxic by themselves.
-CATEGORIES = ("low_quality", "toxic")
+#: The models are fitted on at most TRAINING_ROWS labelled documents, their earlier probabilities on FOLDS folds.
+TRAINING_ROWS, FOLDS = 8000, 5
+#: A model takes the MARKS marks of highest log-likelihood ratio (G2), of at least LEAST_G2; those that weigh less than
+#: LEAST_WEIGHT are left out again.
+MARKS, LEAST_G2, PENALTY, LEAST_WEIGHT = 512, 6.0, 0.3, 0.1
+#: Lengths of words' beginnings, and the numbers of occurrences that make marks of their own.
+BEGINNINGS, LEVELS, SHARES = range(3, 7), (1, 2, 4), (0.05, 0.2, 0.5)
+#: The chain's order, low quality first, as its signs (shouting, junk) are not toxic by themselves; and how many wrongly
+#: rejected documents are as bad as one missed.
+CATEGORIES, MISS_WEIGHTS = ("low_quality", "toxic"), (1.0, 10.0)
 THRESHOLD = 0.5
-STRIP = b".,;:!?\"'()[]{}<>*#$%&|-_"
-
-
-class Words:
-    """Places of a text's distinct words. Keeps the places of frequent words, within a bound."""
-
-    def __init__(self, most: int = 200_000):
-        self.places: dict[bytes, int] = {}
-        self.most = most
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        found = set()
-        places = self.places
-        for w in set((text or "").encode().lower().split()):
-            k = places.get(w)
-            if k is None:
-                k = zlib.crc32(w.strip(STRIP)) & ((1 << BITS) - 1)
-                if len(places) < self.most:
-                    places[w] = k
-            found.add(k)
-        return np.fromiter(found, np.int64, len(found))
+STRIP = ".,;:!?\"'()[]{}<>*#$%&|-_¡¿"
+SYMBOLS = frozenset("<>*#$%&|!")
+
+
+def _crc(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "surrogatepass"))
+
+
+def _number(start: int, mark: str) -> int:
+    """A mark's number; its upper half is that of the first letters, so that words with others are passed by."""
+    return (start & 0x7FFFFFFF) << 32 | _crc(mark)
+
+
+class Marks:
+    """Numbers of a text's marks, of all or of the known ones only. Keeps what frequent words give, within a bound."""
+
+    def __init__(self, known: set[int] | None = None, most: int = 200_000):
+        self.known, self.most = known, most
+        self.starts = None if known is None else {k >> 32 for k in known}
+        self.words: dict[str, tuple] = {}
+        self.without: set[str] = set()  # words that give nothing
+        self.first: dict[str, int] = {}
+        self.beginnings: dict[str, tuple] = {}
+
+    def _takes(self, mark: int) -> bool:
+        return self.known is None or mark in self.known
+
+    def _of_beginning(self, start: int, beginning: str) -> tuple:
+        """(number of occurrences, mark) for each level."""
+        found = self.beginnings.get(beginning)
+        if found is None:
+            found = tuple((level, k) for level in LEVELS if self._takes(k := _number(start, f"{level}^{beginning}")))
+            if len(self.beginnings) < self.most:
+                self.beginnings[beginning] = found
+        return found
+
+    def _of_word(self, raw: str) -> tuple | None:
+        """The word's mark or None, its beginnings' marks by level, whether it is in capitals, whether it has symbols."""
+        upper, marked = len(raw) > 1 and raw.isupper(), not SYMBOLS.isdisjoint(raw)
+        word = raw.lower().strip(STRIP)
+        head = word[: BEGINNINGS[0]]
+        start = self.first.get(head)
+        if start is None:
+            start = _crc(head) & 0x7FFFFFFF
+            if len(self.first) < self.most:
+                self.first[head] = start
+        mark, levels = None, ()
+        if word and (self.starts is None or start in self.starts):
+            if not self._takes(mark := _number(start, f"={word}")):
+                mark = None
+            levels = tuple([x for n in BEGINNINGS if n <= len(word) and (x := self._of_beginning(start, word[:n]))])
+        if mark is None and not levels and not upper and not marked:
+            if len(self.without) < self.most:
+                self.without.add(raw)
+            return None
+        found = (mark, levels, upper, marked)
+        if len(self.words) < self.most:
+            self.words[raw] = found
+        return found
+
+    def __call__(self, text: str | None) -> set[int]:
+        counts = Counter((text or "").split())
+        words, found, n = self.words, set(), counts.total()
+        begun: dict[tuple, int] = {}
+        capital = symbols = 0
+        for raw in counts.keys() - self.without:
+            entry = words.get(raw) or self._of_word(raw)
+            if entry is None:
+                continue
+            mark, levels, upper, marked = entry
+            times = counts[raw]
+            if mark is not None:
+                found.add(mark)
+            for x in levels:
+                begun[x] = begun.get(x, 0) + times
+            capital += times * upper
+            symbols += times * marked
+        for levels, times in begun.items():
+            found.update(k for level, k in levels if times >= level)
+        for name, share in (("capital", capital), ("symbols", symbols), ("repeats", n - len(counts))):
+            for least in SHARES:
+                if share and share >= least * n and self._takes(k := _number(0, f"{name}>{least}")):
+                    found.add(k)
+        return found
 
 
 @dataclass
 class Linear:
-    """Logistic regression over presence of words, each scaled by its log-count ratio between the classes."""
+    """Logistic regression over presence of marks, and over the earlier categories' probabilities."""
 
-    weights: np.ndarray
+    weights: dict[int, float]
     bias: float
     chain: np.ndarray
 
-    def margin(self, places: np.ndarray, earlier: np.ndarray) -> float:
-        return float(self.weights[places].sum() + self.bias + self.chain @ earlier)
-
-
-def _sums(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0.0], np.cumsum(values)])
-    return total[starts + sizes] - total[starts]
+    def margin(self, marks: set[int], earlier: np.ndarray) -> float:
+        w = self.weights
+        return sum(w[k] for k in sorted(marks & w.keys())) + self.bias + float(self.chain @ earlier)
 
 
 def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit_linear(rows: list[np.ndarray], earlier: np.ndarray, y: np.ndarray, penalty: float = 2e-3) -> Linear:
-    """Full-batch accelerated gradient steps on the penalised log loss; deterministic."""
-    sizes = np.array([len(r) for r in rows], np.int64)
-    idx = np.concatenate(rows) if sizes.sum() else np.zeros(0, np.int64)
-    starts = np.cumsum(sizes) - sizes
-    owner = np.repeat(np.arange(len(rows)), sizes)
-    used, idx = np.unique(idx, return_inverse=True)
-    d, n = len(used), max(1, len(rows))
-    pos = np.bincount(idx, weights=y[owner], minlength=d) + 1
-    neg = np.bincount(idx, weights=1 - y[owner], minlength=d) + 1
-    n1, n0 = y.sum() + 2, (1 - y).sum() + 2
-    ratio = np.log(pos / n1) - np.log(neg / n0)
-    ratio = np.clip(ratio, -4, 4)
-    w, chain, bias = np.zeros(d), np.zeros(earlier.shape[1]), float(np.log(n1 / n0))
-    vw, vc, vb = np.zeros(d), np.zeros_like(chain), 0.0
-    sw, sc, sb = np.full(d, 1e-8), np.full(len(chain), 1e-8), 1e-8
-    scale = ratio[idx]
-    for t in range(1, EPOCHS + 1):
-        z = _sums(w[idx] * scale, starts, sizes) + earlier @ chain + bias
-        g = (_sigmoid(z) - y) / n
-        gw = np.bincount(idx, weights=g[owner] * scale, minlength=d) + penalty / n * w
-        gc, gb = earlier.T @ g + penalty / n * chain, g.sum()
-        rate = 0.1 / (1 + t / 60)
-        for x, gx, v, s in ((w, gw, vw, sw), (chain, gc, vc, sc)):
-            v *= 0.9
-            v += 0.1 * gx
-            s *= 0.99
-            s += 0.01 * gx * gx
-            x -= rate * (v / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-8)
-        vb, sb = 0.9 * vb + 0.1 * gb, 0.99 * sb + 0.01 * gb * gb
-        bias -= rate * (vb / (1 - 0.9**t)) / (np.sqrt(sb / (1 - 0.99**t)) + 1e-8)
-    weights = np.zeros(1 << BITS)
-    weights[used] = w * ratio
-    return Linear(weights, bias, chain)
-
-
-def fit_chain(rows: list[np.ndarray], labels: np.ndarray, folds: np.ndarray) -> list[Linear]:
+def _part(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
+
+
+def selected(mark: np.ndarray, owner: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Indexes of the marks that tell positives from negatives best, by G2 of presence; one mark twice or more in all."""
+    size = int(mark.max()) + 1 if len(mark) else 0
+    pos = np.bincount(mark, weights=y[owner], minlength=size)
+    both = np.bincount(mark, minlength=size).astype(float)
+    n, n1 = float(len(y)), float(y.sum())
+    neg, n0 = both - pos, n - n1
+    g2 = 2 * (_part(pos) + _part(neg) + _part(n1 - pos) + _part(n0 - neg) - _part(both) - _part(n - both) + _part(np.array(n)) - _part(np.array(n1)) - _part(np.array(n0)))
+    good = np.flatnonzero((g2 >= LEAST_G2) & (both >= 2))
+    return np.sort(good[np.argsort(-g2[good], kind="stable")[:MARKS]])
+
+
+def fit_linear(names: np.ndarray, mark: np.ndarray, owner: np.ndarray, earlier: np.ndarray, y: np.ndarray, miss_weight: float = 1.0) -> Linear:
+    """Newton's steps on the penalised log loss, twice, without the light marks the second time; deterministic.
+
+    Without positives nothing is positive.
+
+    mark and owner list which row has which mark; names numbers the marks as Marks does.
+    """
+    if not y.any():
+        return Linear({}, -35.0, np.zeros(earlier.shape[1]))
+    take = selected(mark, owner, y)
+    w = _newton(mark, owner, earlier, y, take, miss_weight)
+    take = take[np.abs(w[: len(take)]) >= LEAST_WEIGHT]
+    w = _newton(mark, owner, earlier, y, take, miss_weight)
+    return Linear(dict(zip(names[take].tolist(), w[: len(take)].tolist(), strict=True)), float(w[-1]), w[len(take) : -1])
+
+
+def _newton(mark: np.ndarray, owner: np.ndarray, earlier: np.ndarray, y: np.ndarray, take: np.ndarray, miss_weight: float) -> np.ndarray:
+    """Weights of the marks taken, the earlier probabilities and the bias."""
+    place = np.searchsorted(take, mark)
+    hit = np.flatnonzero(place < len(take))
+    hit = hit[take[place[hit]] == mark[hit]]
+    x = np.zeros((len(y), len(take) + earlier.shape[1] + 1))
+    x[owner[hit], place[hit]] = 1
+    x[:, len(take) : -1] = earlier
+    x[:, -1] = 1
+    cost = np.where(y > 0, miss_weight, 1.0)
+    w = np.zeros(x.shape[1])
+    w[-1] = np.log((cost @ y + 0.5) / (cost @ (1 - y) + 0.5))
+    penalty = np.full(len(w), PENALTY)
+    penalty[-1] = 1e-3
+    for _ in range(15):
+        p = _sigmoid(x @ w)
+        bend = (x * (cost * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x
+        bend[np.diag_indices(len(w))] += penalty
+        step = np.linalg.solve(bend, x.T @ (cost * (y - p)) - penalty * w)
+        longest = np.abs(step).max()
+        w += step * min(1.0, 5.0 / max(longest, 1e-12))
+        if longest < 1e-2:
+            break
+    return w
+
+
+def fit_chain(marks: list[np.ndarray], labels: np.ndarray, folds: np.ndarray, miss_weights: tuple[float, ...] = MISS_WEIGHTS) -> list[Linear]:
     """One model per category; labels has a column for each, folds a number below FOLDS for each row."""
+    sizes = np.array([len(m) for m in marks], np.int64)
+    names, mark = np.unique(np.concatenate(marks) if sizes.sum() else np.zeros(0, np.int64), return_inverse=True)
+    owner = np.repeat(np.arange(len(marks)), sizes)
     models: list[Linear] = []
-    earlier = np.zeros((len(rows), 0))
+    earlier = np.zeros((len(marks), 0))
     for k in range(labels.shape[1]):
         y = labels[:, k].astype(float)
-        models.append(fit_linear(rows, earlier, y))
+        models.append(fit_linear(names, mark, owner, earlier, y, miss_weights[k]))
         if k + 1 < labels.shape[1]:
-            held_out = np.zeros(len(rows))
+            held_out = np.zeros(len(marks))
             for fold in range(FOLDS):
-                inside, outside = np.flatnonzero(folds != fold), np.flatnonzero(folds == fold)
-                if len(outside):
-                    m = fit_linear([rows[i] for i in inside], earlier[inside], y[inside])
-                    held_out[outside] = [_sigmoid(m.margin(rows[i], earlier[i])) for i in outside]
+                inside = folds != fold
+                own, number = inside[owner], np.cumsum(inside) - 1
+                m = fit_linear(names, mark[own], number[owner[own]], earlier[inside], y[inside], miss_weights[k])
+                for i in np.flatnonzero(~inside):
+                    held_out[i] = _sigmoid(m.margin(set(marks[i].tolist()), earlier[i]))
             earlier = np.column_stack([earlier, held_out])
     return models
 
 
-def probabilities(models: list[Linear], places: np.ndarray) -> list[float]:
+def probabilities(models: list[Linear], marks: set[int]) -> list[float]:
     out: list[float] = []
     for m in models:
-        out.append(float(_sigmoid(m.margin(places, np.array(out)))))
+        out.append(float(_sigmoid(m.margin(marks, np.array(out)))))
     return out
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> pd.DataFrame:
-    """doc_id, quality, toxic, places of at most `rows` labelled documents, those of least hash; each doc_id once.
+def known(models: list[Linear]) -> set[int]:
+    return {k for m in models for k in m.weights}
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> pa.Table:
+    """doc_id, quality, toxic, marks of at most `rows` labelled documents, those of least hash; each doc_id once.
 
-    The chosen ids are few by that bound and are broadcast; only hashed words come to the driver.
+    The chosen ids are few by that bound and are broadcast. Of rows that share one, that of least text is taken, on the
+    executors and before the shuffle, so that no more than `rows` rows, of hashed marks only, come to the driver.
     """
     labels = pick(labels, doc_id="doc_id", quality="quality", toxic="toxic").dropna().groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = Marks()
         for batch in batches:
-            found = [np.sort(words(t)).astype("<u4").tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), batch.column("toxic"), pa.array(found, pa.binary())], ["doc_id", "quality", "toxic", "places"])
+            found = [np.sort(np.fromiter(marks(t), np.int64)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), batch.column("toxic"), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "quality", "toxic", "marks"])
 
     joined = docs.join(F.broadcast(chosen.select("doc_id", F.col("quality").cast("long").alias("quality"), F.col("toxic").cast("long").alias("toxic"))), "doc_id")
-    found = joined.select("doc_id", "quality", "toxic", "text").mapInArrow(places, "doc_id long, quality long, toxic long, places binary")
-    return found.toPandas().sort_values(["doc_id", "places"]).drop_duplicates("doc_id", ignore_index=True)
+    once = joined.groupBy("doc_id", "quality", "toxic").agg(F.min("text").alias("text"))
+    return once.mapInArrow(mark, "doc_id long, quality long, toxic long, marks array<long>").toArrow().sort_by("doc_id")
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> list[Linear]:
+    """The chain's models. Labels without doc_id, quality or toxic are left out; a doc_id labelled twice counts once."""
     sample = training_sample(id_and_text(docs), labels, rows)
-    places = [np.frombuffer(x, "<u4").astype(np.int64) for x in sample["places"]]
-    y = np.column_stack([sample["quality"].to_numpy() == 0, sample["toxic"].to_numpy() == 1]).reshape(len(sample), 2)
-    folds = np.array([zlib.crc32(str(i).encode()) % FOLDS for i in sample["doc_id"]], np.int64)
-    return fit_chain(places, y, folds)
+    marks = [np.asarray(x.values) for x in sample["marks"]]
+    quality, toxic = (sample[c].to_numpy() for c in ("quality", "toxic"))
+    folds = np.array([zlib.crc32(str(i).encode()) % FOLDS for i in sample["doc_id"].to_pylist()], np.int64)
+    return fit_chain(marks, np.column_stack([quality == 0, toxic == 1]).reshape(len(marks), 2), folds)
 
 
 def score(docs: DataFrame, models: list[Linear], threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, p_low_quality, p_toxic, toxic for every row of docs.
 
-    Null and empty texts have no words and get the models' base rates. Rows are independent: repeated rows and null ids
-    come out as they are, other columns are not read, an empty table gives an empty result. Without labels every
-    probability is the base rate of no positives, so nothing is toxic.
+    Null and empty texts have no marks and get the models' base rates. Rows are independent: repeated rows and null ids
+    come out as they are, other columns are not read, an empty table gives an empty result. Where no label is positive,
+    as without labels, the probability is nothing, so nothing is toxic.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        marks = Marks(known(models))
         for batch in batches:
-            p = [probabilities(models, words(t)) for t in batch.column("text").to_pylist()]
+            p = [probabilities(models, marks(t)) for t in batch.column("text").to_pylist()]
             p = np.array(p).reshape(len(p), len(CATEGORIES))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(p[:, 1] >= threshold)], ["doc_id", "p_low_quality", "p_toxic", "toxic"])
 
