@@ -34,9 +34,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     models = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = toxicity.Words()
+        marks = toxicity.Marks(toxicity.known(models))
         for batch in batches:
-            good = [toxicity.probabilities(models, words(t))[-1] < toxicity.THRESHOLD for t in batch.column("text").to_pylist()]
+            good = [toxicity.probabilities(models, marks(t))[-1] < toxicity.THRESHOLD for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
