@@ -2,8 +2,10 @@
 
 Every document is taken floor(rate) times for certain, rate being its source's target over its source's size. One
 more copy goes to the documents that come first when ordered by random odds over inclusion odds, as many as fill the
-rest of the source's target. The place in that order where the target is reached is found by three histograms of the
-order's key, each of which refines one bin of the last; no source is ever sorted in one task.
+rest of the source's target. The place in that order where the target is reached is found by histograms of the order's
+key, each of which refines one bin of the last, two or as many more as it takes for the last bin to hold few rows; no
+source is ever sorted in one task. What the sample then misses of the target, less than its next document's size, is
+given to the largest document left that fits, which is no part of Pareto's order.
 """
 
 from __future__ import annotations
@@ -11,11 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, pick, small, written
+from .common import WORD, documents, pick, row_numbered, small, written
 
 WEIGHTS = (5, 2, 1)
-#: The ordering key has KEY_BITS bits; each histogram looks at BIN_BITS more of them.
-KEY_BITS, BIN_BITS = 52, 12
+#: The ordering key has KEY_BITS bits, and a second one for ties as many; each histogram looks at BIN_BITS more of them,
+#: until the last bins hold no more than BIN_ROWS rows each.
+KEY_BITS, BIN_BITS, BIN_ROWS = 52, 13, 1 << 16
 SALT = "mix"
 
 
@@ -43,67 +46,92 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
 
 
 def _key(share: Column) -> Column:
-    """Random odds over inclusion odds, mapped into 0..2^52."""
-    digits = F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{SALT}")).cast("binary")), 1, 13)
+    """Random odds over inclusion odds, mapped into 0..2^52. A row without doc_id has a random number of its own."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.col("row").cast("string")))
+    digits = F.substring(F.md5(F.concat(name, F.lit(f":{SALT}")).cast("binary")), 1, 13)
     u = (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
     odds = (u / (1 - u)) / (share / (1 - share))
     return F.floor(odds / (1 + odds) * float(1 << KEY_BITS)).cast("long")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
+def _digit(k: int) -> Column:
+    """The k-th BIN_BITS bits of the key, then of the one for ties."""
+    each = KEY_BITS // BIN_BITS
+    of = F.col("key") if k < each else F.xxhash64("row")
+    return F.shiftrightunsigned(of, KEY_BITS - BIN_BITS * (k % each + 1)).bitwiseAND(F.lit((1 << BIN_BITS) - 1)).cast("int")
+
+
+def _digits(n: int) -> Column:
+    return F.array(*(_digit(k) for k in range(n)))
+
+
+def mix(
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()
+) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of docs.
 
     Size counts words; null and empty texts have none and take none. A null source is a source, last in order. Rows
-    with one doc_id share their random number and are told apart by a row number, so each counts once. Reruns agree.
-    Other columns are not read; an empty table gives an empty result. taken is copies times size, at most `most`.
-    With row_col, that column (a long, another one in every row) is the row number and comes first in the result, as row.
+    with one doc_id share their random number, rows without have one each; rows are told apart by a row number, so each
+    counts once. Reruns agree. Other columns are not read; an empty table gives an empty result. taken is copies times
+    size, at most `most`. The columns named by keep come first in the result, read from docs again at the end, so that
+    long ones are neither copied nor shuffled.
     """
-    row = {"row": row_col} if row_col else {}
-    sized = pick(docs, doc_id=id_col, text=text_col, source=source_col, **row).select(
-        F.col("doc_id").cast("long").alias("doc_id"), "source",
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.col("row") if row_col else F.monotonically_increasing_id().alias("row"),
-    )
-    sized = written(sized)
+    kept = {f"keep{i}": c for i, c in enumerate(keep)}
+    numbered = row_numbered(pick(docs, doc_id=id_col, text=text_col, source=source_col, **kept))
+
+    def measured(*columns: str) -> DataFrame:
+        size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+        return numbered.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size, "row", *columns)
+
+    sized = written(measured())
     sources = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(0.0)
     rated = sources.select(F.col("source").alias("s"), "source_size", "target", F.floor(rate).cast("long").alias("whole"), (rate - F.floor(rate)).alias("share"))
     rated = rated.withColumn("budget", F.round("target").cast("long") - F.col("whole") * F.col("source_size"))
-    keyed = sized.join(small(rated), sized.source.eqNullSafe(F.col("s")), "left").drop("s")
-    keyed = keyed.withColumn("key", F.when((F.col("share") > 0) & (F.col("share") < 1) & (F.col("size") > 0), _key(F.col("share"))))
-    # What lies before the bin in which the budget ends, refined twice.
-    cut = rated.select("s", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("spent"), "budget")
-    shift = KEY_BITS
-    for _ in range(2):
-        shift -= BIN_BITS
-        inside = keyed.where(F.col("key").isNotNull()).select("source", "key", "size").join(small(cut), F.col("source").eqNullSafe(F.col("s")))
-        inside = inside.where(F.shiftright("key", shift + BIN_BITS) == F.shiftright("low", shift + BIN_BITS))
-        bins = inside.groupBy("s", F.shiftleft(F.shiftright("key", shift), shift).alias("bin"), "spent", "budget").agg(F.sum("size").alias("n"))
-        run = F.sum("n").over(Window.partitionBy("s").orderBy("bin"))
-        bins = bins.withColumn("upto", F.col("spent") + run)
+
+    def with_keys(rows: DataFrame) -> DataFrame:
+        joined = rows.join(small(rated), rows.source.eqNullSafe(F.col("s")), "left").drop("s")
+        return joined.withColumn("key", F.when((F.col("share") > 0) & (F.col("share") < 1) & (F.col("size") > 0), _key(F.col("share"))))
+
+    keyed = with_keys(sized)
+    # What lies before the bin in which the budget ends, refined until that bin is small.
+    cut = rated.select("s", F.array().cast("array<int>").alias("bin"), F.lit(0).cast("long").alias("spent"), "budget")
+    n, rows = 0, BIN_ROWS + 1
+    while n < 2 or (rows > BIN_ROWS and n < 2 * KEY_BITS // BIN_BITS):
+        inside = keyed.where(F.col("key").isNotNull()).join(small(cut.drop("budget")), F.col("source").eqNullSafe(F.col("s"))).where(_digits(n).cast("array<int>") == F.col("bin"))
+        bins = inside.groupBy("s", "bin", _digit(n).alias("next"), "spent", "budget").agg(F.sum("size").alias("n"), F.count("*").alias("rows"))
+        bins = bins.withColumn("upto", F.col("spent") + F.sum("n").over(Window.partitionBy("s").orderBy("next")))
         # The first bin that the budget doesn't cover whole; if it covers all, the last.
-        best = F.coalesce(F.min(F.when(F.col("upto") > F.col("budget"), F.struct("bin", (F.col("upto") - F.col("n")).alias("before")))), F.max(F.struct("bin", (F.col("upto") - F.col("n")).alias("before"))))
-        cut = bins.groupBy("s", "budget").agg(best.alias("b")).select("s", F.col("b.bin").alias("low"), F.col("b.before").alias("spent"), "budget")
+        found = F.struct("next", (F.col("upto") - F.col("n")).alias("before"), "rows")
+        best = F.coalesce(F.min(F.when(F.col("upto") > F.col("budget"), found)), F.max(found))
+        cut = bins.groupBy("s", "bin", "budget").agg(best.alias("b")).select("s", F.concat("bin", F.array("b.next")).alias("bin"), F.col("b.before").alias("spent"), "budget", F.col("b.rows").alias("rows"))
         cut = written(cut)
-    limits = cut.select("s", "low", "spent")
-    ranked = keyed.join(small(limits), keyed.source.eqNullSafe(F.col("s")), "left")
-    top = F.shiftright("key", shift)
-    place = F.when(F.col("key").isNull(), 3).when(top < F.shiftright("low", shift), 0).when(top == F.shiftright("low", shift), 1).otherwise(2)
-    ranked = ranked.withColumn("place", place)
-    last_bin = ranked.where("place = 1").select("s", "row", "key", "doc_id", "size", "spent", "budget")
-    run = F.sum("size").over(Window.partitionBy("s").orderBy("key", "doc_id", "size", "row"))
-    last_bin = written(last_bin.withColumn("upto", F.col("spent") + run).where("upto <= budget").select("s", "row", "upto"))
+        n, rows = n + 1, cut.agg(F.coalesce(F.max("rows"), F.lit(0))).first()[0]
+        cut = cut.drop("rows")
+    limits = cut.select("s", "bin", "spent")
+
+    def placed(rows: DataFrame) -> DataFrame:
+        """0: before the last bin, so taken; 1: in it; 2: behind it; 3: without a key."""
+        ranked = rows.join(small(limits), rows.source.eqNullSafe(F.col("s")), "left")
+        return ranked.withColumn("place", F.when(F.col("key").isNull(), 3).when(_digits(n) < F.col("bin"), 0).when(_digits(n) == F.col("bin"), 1).otherwise(2))
+
+    ranked = placed(keyed)
+    run = F.sum("size").over(Window.partitionBy("s").orderBy("key", F.xxhash64("row"), "doc_id", "row"))
+    fitting = written(ranked.where("place = 1").withColumn("upto", F.col("spent") + run).where("upto <= budget").select("s", "row", "upto"))
     # What is still missing is topped up by the largest document that fits.
-    ends = last_bin.groupBy("s").agg(F.max("upto").alias("upto"))
-    marked = ranked.drop("s").join(small(last_bin.select("row", F.lit(1).alias("fits"))), "row", "left")
-    marked = marked.withColumn("more", ((F.col("place") == 0) | F.col("fits").isNotNull()).cast("long"))
-    need = limits.join(ends, limits.s.eqNullSafe(ends.s), "left").select(limits.s.alias("s2"), F.coalesce("upto", "spent").alias("got"))
-    need = written(need)
-    rest = marked.where("more = 0 and key is not null").select("source", "row", "size", "key", "budget", "doc_id").join(small(need), F.col("source").eqNullSafe(F.col("s2")))
-    rest = rest.where(F.col("size") <= F.col("budget") - F.col("got"))
-    pick_one = written(rest.groupBy("s2").agg(F.max(F.struct("size", (-F.col("key")).alias("k"), (-F.col("doc_id")).alias("d"), "row")).alias("b")).select(F.col("b.row").alias("row"), F.lit(1).alias("extra")))
-    full = marked.join(small(pick_one), "row", "left")
+    ends = fitting.groupBy("s").agg(F.max("upto").alias("upto"))
+    got = written(limits.join(ends, limits.s.eqNullSafe(ends.s), "left").select(limits.s.alias("s2"), F.coalesce("upto", "spent").alias("got")))
+
+    def decided(rows: DataFrame) -> DataFrame:
+        marked = rows.drop("s").join(small(fitting.select("row", F.lit(1).alias("fits"))), "row", "left")
+        return marked.withColumn("more", ((F.col("place") == 0) | F.col("fits").isNotNull()).cast("long"))
+
+    rest = decided(ranked).where("more = 0 and key is not null").join(small(got), F.col("source").eqNullSafe(F.col("s2"))).where("size <= budget - got")
+    extra = written(rest.groupBy("s2").agg(F.max(F.struct("size", (-F.col("key")).alias("k"), (-F.col("doc_id")).alias("d"), "row")).alias("b")).select(F.col("b.row").alias("row"), F.lit(1).alias("extra")))
+    full = decided(placed(with_keys(measured(*kept))) if keep else ranked).join(small(extra), "row", "left")
     copies = F.col("whole") + F.when(F.col("extra").isNotNull(), 1).otherwise(F.col("more"))
-    return full.select(*row, "doc_id", "size", "source_size", "target", F.coalesce(copies * F.col("size"), F.lit(0)).cast("long").alias("taken"))
+    front = [F.col(c).alias(name) for c, name in kept.items()] if keep else ["doc_id"]
+    return full.select(*front, "size", "source_size", "target", F.coalesce(copies * F.col("size"), F.lit(0)).cast("long").alias("taken"))
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
