@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrid.llm import decontamination, mixing, pii, simhash, toxicity
-from loomgrid.llm.common import pick, small, written
+from loomgrid.llm.common import pick, row_numbered, small, written
 
 #: SQL can't express the fitted models and the fingerprints' hash.
 ORACLE_SQL = None
@@ -23,11 +23,6 @@ def _document_columns(docs: DataFrame) -> DataFrame:
     return pick(docs, **{c: c for c in COLUMNS})
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """The documents with a written key, row, that tells all rows apart, whatever their doc_ids."""
-    return written(_document_columns(docs).withColumn("row", F.monotonically_increasing_id()))
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain doesn't call toxic, unchanged. Each row is judged by itself."""
     docs = _document_columns(docs)
@@ -48,7 +43,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Groups are of rows, so rows that share a doc_id and differ in text can be in several. Documents without words share
     a fingerprint like any other, so one of them stays. Reruns agree: what remains equal in order is equal in all columns.
     """
-    docs = _keyed(docs)
+    docs = row_numbered(_document_columns(docs))
     groups = written(simhash.near_groups(docs, id_col="row").select(F.col("doc_id").alias("row"), "component_id"))
     order = docs.select("row", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.sha2("text", 256).alias("text"), "source", "lang", "n_chars", "row").alias("order"))
     kept = written(groups.join(order, "row").groupBy("component_id").agg(F.min("order").alias("first")).select("first.row"))
@@ -58,7 +53,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark window, unchanged. Each row is judged by its own text, also without doc_id or with a shared one."""
-    docs = _keyed(docs)
+    docs = row_numbered(_document_columns(docs))
     hit = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="row").where("contaminated")
     rows = written(hit.select(F.col("doc_id").alias("row")))
     return docs.join(small(rows), "row", "left_anti").select(*COLUMNS)
@@ -82,11 +77,8 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with copies: how often each goes into the training data."""
-    docs = _keyed(docs)
-    mixed = mixing.mix(docs, row_col="row").where("taken > 0")
     # taken is a multiple of size.
-    amounts = written(mixed.select("row", "size", "source_size", "target", "taken", (F.col("taken") / F.col("size")).cast("long").alias("copies")))
-    return docs.join(small(amounts), "row").drop("row")
+    return mixing.mix(_document_columns(docs), keep=COLUMNS).where("taken > 0").withColumn("copies", (F.col("taken") / F.col("size")).cast("long"))
 
 
 STAGES = [
