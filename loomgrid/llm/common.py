@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -60,9 +61,11 @@ def block_count(docs: DataFrame, block_bytes: int, text_col: str = "text") -> in
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a local folder only where the setting is absent, as in tests."""
+    """spark.checkpoint.dir of the session; where it is absent, a local folder on one machine, an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="loomgrid-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

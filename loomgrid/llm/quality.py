@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, id_and_text, pick, table, words_of, written
+from .common import BROADCAST_BYTES, WORD, documents, estimated_bytes, id_and_text, pick, small, table, words_of, written
 
 #: Words have BUCKETS places and pairs as many; that bounds the broadcast model.
 BUCKETS, SMOOTHING, UNIT = 1 << 16, 1.0, 1_000_000
@@ -27,15 +27,18 @@ def let(value: Column, body) -> Column:
 def repeated_words(words: Column, size: int = WINDOW) -> Column:
     """Words inside windows of `size` words that occur twice or more in the array."""
     n = F.size(words)
-    grams = F.when(n >= size, F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.xxhash64(F.slice(words, i, F.lit(size)))))
+    # Windows are hashed; those of a text with equal hashes are then compared by their words.
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    grams = F.when(n >= size, let(hashes, lambda h: F.transform(F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(size))))))
 
     def covered(g: Column) -> Column:
-        by_gram = F.array_sort(F.transform(g, lambda x, i: F.struct(x.alias("g"), i.alias("i"))))
+        window = lambda i: F.slice(words, i + 1, F.lit(size))
+        by_gram = F.array_sort(F.transform(g, lambda x, i: F.struct(x.alias("g"), window(i).alias("w"), i.alias("i"))))
 
         def twins(s: Column) -> Column:
-            nothing = F.array(F.lit(None).cast("struct<g:bigint,i:int>"))
+            nothing = F.array(F.lit(None).cast("struct<g:bigint,w:array<string>,i:int>"))
             zipped = F.arrays_zip(s.alias("x"), F.concat(nothing, s).alias("before"), F.concat(F.slice(s, F.lit(2), F.size(s)), nothing).alias("after"))
-            return F.transform(F.filter(zipped, lambda z: (z["x"]["g"] == z["before"]["g"]) | (z["x"]["g"] == z["after"]["g"])), lambda z: z["x"]["i"])
+            return F.transform(F.filter(zipped, lambda z: (z["x"]["w"] == z["before"]["w"]) | (z["x"]["w"] == z["after"]["w"])), lambda z: z["x"]["i"])
 
         at = F.array_sort(let(by_gram, twins))
         start = F.struct(F.lit(-size).alias("last"), F.lit(0).alias("n"))
@@ -72,8 +75,17 @@ def _pair_bucket(c: str, buckets: int) -> Column:
 
 
 def fit(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """bucket, ratio over all n-grams of docs (doc_id, text); trusted has doc_id once each. At most 2 * buckets rows."""
-    flagged = docs.join(trusted.select("doc_id", F.lit(1).alias("t")).hint("shuffle_hash"), "doc_id", "left")
+    """bucket, ratio over all n-grams of docs (doc_id, text); trusted has doc_id once each. At most 2 * buckets rows.
+
+    Ids that are few enough are broadcast, so no text is shuffled. Beyond that the join shuffles texts, but none without
+    doc_id, which nothing trusts: they may be many and would meet in one task.
+    """
+    ids = written(trusted.select("doc_id", F.lit(1).alias("t")))
+    if estimated_bytes(ids) <= BROADCAST_BYTES:
+        flagged = docs.join(small(ids), "doc_id", "left")
+    else:
+        named = docs.where("doc_id is not null").join(ids, "doc_id", "left")
+        flagged = named.unionByName(docs.where("doc_id is null").withColumn("t", F.lit(None).cast("int")))
     grams = flagged.select(F.coalesce("t", F.lit(0)).cast("long").alias("t"), F.explode(pairs(words_of(F.col("text")))).alias("p"))
     counts = grams.select("t", F.explode(F.array(_word_bucket("p", buckets), _pair_bucket("p", buckets))).alias("bucket"))
     counts = written(counts.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("target")))
