@@ -7,6 +7,7 @@ sequences, keyboard walks and brute force can write it, found by dynamic program
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 from collections.abc import Iterator
@@ -38,12 +39,32 @@ WORDS = (
     "michael jennifer thomas robert daniel jordan george charlie andrew jessica michelle one two three four five six seven eight nine ten red green blue black white "
     "string field name email page file path http https www com org net config setting settings placeholder required optional env process get set"
 ).split()
-RANK = {w: i + 1 for i, w in enumerate(dict.fromkeys(WORDS))}
+_ranks: dict[str, dict[str, int]] = {}
+
+
+def dictionary(path: str | None = None) -> dict[str, int]:
+    """Words by rank: those of credentials and placeholders first, then the whole words of a public tokenizer, most frequent first.
+
+    path is that of a vocabulary in which a word's end is marked by </w> and ids grow as words get rarer.
+    """
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+    if path not in _ranks:
+        with open(path, encoding="utf-8") as file:
+            ids = json.load(file)["model"]["vocab"]
+        whole = sorted((k, w[:-4]) for w, k in ids.items() if w.endswith("</w>"))
+        _ranks[path] = {w: i + 1 for i, w in enumerate(dict.fromkeys([*WORDS, *(w for _, w in whole if len(w) >= 3 and w.isalpha())]))}
+    return _ranks[path]
+
+
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 BESIDE: dict[str, set[str]] = {}
 for _y, _row in enumerate(ROWS):
     for _x, _c in enumerate(_row):
         BESIDE[_c] = {_r[i] for _r in ROWS[max(0, _y - 1) : _y + 2] for i in (_x - 1, _x, _x + 1) if 0 <= i < len(_r)} - {_c}
+#: Whole dates, or years, in digits.
 DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
 LEET = str.maketrans("@4301$5!7", "aaeoissit")
 
@@ -57,46 +78,83 @@ def _brute(c: str) -> float:
 BRUTE = {chr(i): _brute(chr(i)) for i in range(128)}
 
 
-def guess_bits(value: str) -> float:
-    """Least bits over all segmentations; linear in the length, as segments other than brute force have a bound."""
-    n, low = len(value), value.lower()
-    plain = low.translate(LEET) if len(low) == n else low
-    if len(low) != n:  # lower-casing changed the length: nothing but brute force fits
-        return sum(BRUTE.get(c, 7.0) for c in value)
-    best = [0.0] * (n + 1)
-    walk = [0] * n  # how far a keyboard walk, a run of one sign and a sequence go back from here
-    same = [0] * n
-    steps = [0] * n
+def _pattern_bits(kind: str, length: int) -> float:
+    """Bits of a keyboard walk or of a sequence of so many signs."""
+    return math.log2(47 * 4 if kind == "walk" else 36 * 2) + 2 * math.log2(length)
+
+
+def _word_bits(cased: str, rank: int, swapped: bool) -> float:
+    upper = sum(c.isupper() for c in cased)
+    case = 0.0 if not upper else 1.0 if upper in (1, len(cased)) else float(min(upper, len(cased) - upper) * 2)
+    return math.log2(rank) + 1 + (1.5 if swapped else 0.0) + case
+
+
+def _date_bits(length: int) -> float:
+    return math.log2(120) + (math.log2(366) + 1 if length > 4 else 0)
+
+
+def segments(value: str, ranks: dict[str, int]) -> Iterator[tuple[int, int, float]]:
+    """(start, end, bits) of every segment other than brute force, of SPAN signs at most, by its end.
+
+    Words (as they are, or with signs put for letters), dates, keyboard walks, sequences and runs of one sign, of every
+    start and every length. Repeats of a group of signs are left to guess_bits, as they cost by the group before them.
+    """
+    low = value.lower()
+    plain, n = low.translate(LEET), len(low)
+    walk, steps, same = ([0] * n for _ in range(3))  # how far each goes back from here
     for i in range(1, n):
         a, b = low[i - 1], low[i]
         walk[i] = walk[i - 1] + 1 if b in BESIDE.get(a, ()) else 0
-        same[i] = same[i - 1] + 1 if a == b else 0
+        same[i] = same[i - 1] + 1 if value[i - 1] == value[i] else 0
         d = ord(b) - ord(a)
         steps[i] = (steps[i - 1] + 1 if i > 1 and d == ord(a) - ord(low[i - 2]) else 1) if abs(d) == 1 else 0
-    ends: dict[int, list[tuple[int, float]]] = {}
-    for m in DATE.finditer(low):
-        ends.setdefault(m.end(), []).append((m.start(), math.log2(120) + (math.log2(366) + 1 if m.end() - m.start() > 4 else 0)))
     for j in range(1, n + 1):
-        cost = best[j - 1] + BRUTE.get(value[j - 1], 7.0)
-        for start, bits in ends.get(j, ()):
-            cost = min(cost, best[start] + bits)
         for size in range(3, min(SPAN, j) + 1):
             start = j - size
-            for text, extra in ((low, 0.0), (plain, 1.5)):
-                if (rank := RANK.get(text[start:j])) is not None:
-                    cased = value[start:j]
-                    upper = sum(c.isupper() for c in cased)
-                    case = 0.0 if not upper else 1.0 if upper in (1, size) else float(min(upper, size - upper) * 2)
-                    cost = min(cost, best[start] + math.log2(rank) + 1 + extra + case)
-        for back, base in ((walk, math.log2(47 * 4)), (steps, math.log2(36 * 2))):
-            if (k := min(back[j - 1], SPAN - 1)) >= 2:
-                cost = min(cost, best[j - 1 - k] + base + math.log2(k + 1) * 2)
-        if (k := same[j - 1]) >= 2:
-            cost = min(cost, best[j - 1 - k] + BRUTE.get(value[j - 1], 7.0) + math.log2(k + 1))
-        for unit in range(2, min(9, j // 2 + 1)):  # a repeated group of 2 to 8 signs
-            if value[j - unit : j] == value[j - 2 * unit : j - unit]:
-                cost = min(cost, best[j - unit] + 2.0)
-        best[j] = cost
+            for text, swapped in ((low, False), (plain, True)):
+                if (rank := ranks.get(text[start:j])) is not None:
+                    yield start, j, _word_bits(value[start:j], rank, swapped)
+            if (size == 4 or 8 <= size <= 10) and DATE.fullmatch(low, start, j):
+                yield start, j, _date_bits(size)
+            if size <= walk[j - 1] + 1:
+                yield start, j, _pattern_bits("walk", size)
+            if size <= steps[j - 1] + 1:
+                yield start, j, _pattern_bits("steps", size)
+            if size <= same[j - 1] + 1:
+                yield start, j, BRUTE.get(value[j - 1], 7.0) + math.log2(size)
+
+
+def repeated(value: str) -> Iterator[tuple[int, int, int]]:
+    """(start, middle, end): the signs from middle to end repeat those from start to middle, 2 to 8 of them, once or more."""
+    n = len(value)
+    for j in range(1, n + 1):
+        for unit in range(2, min(8, j // 2) + 1):
+            group, at = value[j - unit : j], j - 2 * unit
+            while at >= 0 and value[at : at + unit] == group:
+                yield at, at + unit, j
+                at -= unit
+                if j - at > SPAN:
+                    break
+
+
+def guess_bits(value: str, ranks: dict[str, int] | None = None) -> float:
+    """Least bits over all segmentations; linear in the length, as segments other than brute force have a bound.
+
+    A repeat costs two bits and the logarithm of its number of times, beside the group that it repeats, which comes
+    directly before it in the segmentation.
+    """
+    n = len(value)
+    if len(value.lower()) != n:  # lower-casing changed the length: nothing but brute force fits
+        return sum(BRUTE.get(c, 7.0) for c in value)
+    ends: dict[int, list[tuple[int, float]]] = {}
+    for start, end, bits in segments(value, dictionary() if ranks is None else ranks):
+        ends.setdefault(end, []).append((start, bits))
+    again: dict[int, list[tuple[int, float]]] = {}
+    for start, middle, end in repeated(value):
+        again.setdefault(end, []).append((middle, 2 + math.log2((end - start) // (middle - start) - 1)))
+    best = [0.0] * (n + 1)
+    for j in range(1, n + 1):
+        best[j] = min([best[j - 1] + BRUTE.get(value[j - 1], 7.0), *(best[i] + bits for i, bits in (*ends.get(j, ()), *again.get(j, ())))])
     return best[n]
 
 
@@ -112,7 +170,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def guessed_spans(text: str, base: list[tuple[int, int, int]], least_bits: float = LEAST_BITS) -> list[tuple[int, int, int]]:
+def guessed_spans(text: str, base: list[tuple[int, int, int]], least_bits: float = LEAST_BITS, ranks: dict[str, int] | None = None) -> list[tuple[int, int, int]]:
     """Values in credential contexts that no base span touches and that are costly to guess."""
     low = text.lower()
     if not any(h in low for h in HINTS):
@@ -122,7 +180,7 @@ def guessed_spans(text: str, base: list[tuple[int, int, int]], least_bits: float
         start, end = m.span(1)
         while end > start and text[end - 1] in ".:!?)]}&#*%$":
             end -= 1
-        if end - start >= 8 and not any(a < end and start < b for a, _, b in base) and guess_bits(text[start:end]) >= least_bits:
+        if end - start >= 8 and not any(a < end and start < b for a, _, b in base) and guess_bits(text[start:end], ranks) >= least_bits:
             out.append((start, 3, end))
     return out
 
@@ -131,20 +189,22 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def scan_secrets(docs: DataFrame, least_bits: float = LEAST_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_secrets(docs: DataFrame, least_bits: float = LEAST_BITS, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_guess, base_sha256, spans for every row of docs.
 
     spans lists kind:start:end in code points. Null and empty texts have no spans. Rows are independent: repeated rows
-    and null ids come out as they are, other columns are not read, an empty table gives an empty result.
+    and null ids come out as they are, other columns are not read, an empty table gives an empty result. path is that of
+    the dictionary's vocabulary.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = dictionary(path)
         for batch in batches:
             counts: list[list[int]] = [[], [], [], []]
             digests, spans = [], []
             for text in batch.column("text").to_pylist():
                 base = base_spans(text or "")
-                every = sorted(base + guessed_spans(text or "", base, least_bits))
+                every = sorted(base + guessed_spans(text or "", base, least_bits, ranks))
                 for k in range(4):
                     counts[k].append(sum(x[1] == k for x in every))
                 digests.append(hashlib.sha256(joined(base).encode()).hexdigest())
