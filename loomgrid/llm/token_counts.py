@@ -18,10 +18,12 @@ from .common import documents, id_and_text
 
 #: A text longer than this is cut at safe places into parts of about this many characters.
 PART_CHARS = 32_768
-#: Parts are encoded in batches of about so many characters.
-BATCH_CHARS = 1 << 20
-#: Between a visible character and a blank that precedes another one, no token spans: pre-tokens take a blank only in front.
-SAFE = re.compile(r"(?<=\S)(?= [^\s])")
+#: Parts are encoded in batches of about so many UTF-8 bytes.
+BATCH_BYTES = 1 << 20
+#: No token spans the end of a pre-token, and where pre-tokens end depends only on what follows. They end before white
+#: space, and between letters, digits and other signs, but for the apostrophe, which may begin a pre-token with letters.
+LETTER, DIGIT, SIGN = "A-Za-z\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5", "0-9", "!-&(-/:-@\\[-`{-~\u3001\u3002\uff0c"
+SAFE = re.compile(r"(?<=\S)(?=[ \t\n\r])|" + "|".join(f"(?<=[{a}])(?=[{b}])" for a in (LETTER, DIGIT, SIGN) for b in (LETTER, DIGIT, SIGN) if a != b))
 _encoders: dict = {}
 
 
@@ -43,7 +45,7 @@ def encoder(path: str):
 
 
 def parts(text: str, size: int = PART_CHARS) -> Iterator[str]:
-    """Cut text at safe places; a stretch without any stays whole."""
+    """Cut text at safe places; a stretch without any is one pre-token, which only the encoder itself can cut."""
     start = 0
     while len(text) - start > size:
         cut = SAFE.search(text, start + size)
@@ -70,8 +72,8 @@ def lengths(texts: list[str], path: str) -> list[int]:
         for part in parts(text):
             batch.append(part)
             owners.append(i)
-            held += len(part)
-            if held >= BATCH_CHARS:
+            held += len(part.encode())
+            if held >= BATCH_BYTES:
                 flush()
                 held = 0
     flush()

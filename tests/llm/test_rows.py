@@ -39,6 +39,15 @@ def test_parts_join_to_the_text_and_keep_counts():
     assert token_counts.lengths([text], token_counts.vocabulary()) == [len(enc.encode(text, allowed_special="all"))]
 
 
+@pytest.mark.parametrize("text", ["漢字、かな。交じり文" * 300, "a1b2c3;d4'e5's f" * 300, "x''s'll y!'s 9's\tz\r\n" * 200, "ab\u00a0cd\u3000ef " * 300])
+def test_parts_keep_counts_without_blanks(text):
+    enc, path = token_counts.encoder(token_counts.vocabulary()), token_counts.vocabulary()
+    for size in (7, 50, 1000):
+        cut = list(token_counts.parts(text, size))
+        assert "".join(cut) == text and len(cut) > 1
+        assert sum(len(enc.encode(p, allowed_special="all")) for p in cut) == token_counts.lengths([text], path)[0]
+
+
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
@@ -79,6 +88,55 @@ def test_guess_cost_is_a_least_one(value):
     assert secrets.guess_bits(value) <= brute_bits(value) + 1e-9
 
 
+def all_segmentations(value):
+    """The least bits over every segmentation, each segment by itself; words, dates, walks, sequences, runs and repeats are told anew."""
+    import math
+
+    ranks, low = secrets.dictionary(), value.lower()
+    plain = low.translate(secrets.LEET)
+    beside = lambda t: all(b in secrets.BESIDE.get(a, ()) for a, b in zip(t, t[1:]))
+    in_steps = lambda t: len({ord(b) - ord(a) for a, b in zip(t, t[1:])}) == 1 and abs(ord(t[1]) - ord(t[0])) == 1
+
+    def costs(i, j):
+        yield sum(secrets.BRUTE[c] for c in value[i:j])
+        t, size = low[i:j], j - i
+        if size < 3:
+            return
+        upper = sum(c.isupper() for c in value[i:j])
+        case = 0 if not upper else 1 if upper in (1, size) else 2 * min(upper, size - upper)
+        for text, extra in ((low, 0), (plain, 1.5)):
+            if text[i:j] in ranks:
+                yield math.log2(ranks[text[i:j]]) + 1 + extra + case
+        if re.fullmatch(secrets.DATE, t):
+            yield math.log2(120) + (math.log2(366) + 1 if size > 4 else 0)
+        if beside(t):
+            yield math.log2(188) + 2 * math.log2(size)
+        if in_steps(t):
+            yield math.log2(72) + 2 * math.log2(size)
+        if len(set(value[i:j])) == 1:
+            yield secrets.BRUTE[value[i]] + math.log2(size)
+
+    def every(at):
+        if at == len(value):
+            yield 0.0
+        for j in range(at + 1, len(value) + 1):
+            for rest in every(j):
+                yield min(costs(at, j)) + rest
+        for unit in range(2, 9):  # repeats of the group that ends here
+            group, times = value[at - unit : at], 1
+            while at >= unit and value[at : at + unit * times] == group * times and at + unit * times <= len(value):
+                for rest in every(at + unit * times):
+                    yield 2 + math.log2(times) + rest
+                times += 1
+
+    return min(every(0))
+
+
+@pytest.mark.parametrize("value", ["12019991231", "1201999123", "aaab1234", "qwer4321x", "abababab", "P4ssw0rd1", "x1999abcd", "abcxyabcxy", "11111999", "poiuytr", "The2001", "zzTop_9"])
+def test_guess_cost_is_that_of_all_segmentations(value):
+    assert secrets.guess_bits(value) == pytest.approx(all_segmentations(value))
+
+
 PII = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
     "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
