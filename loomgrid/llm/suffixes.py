@@ -6,7 +6,8 @@ than once, each occurrence's context (the bytes of all windows that chose it) go
 the contexts' suffixes from the anchor on are put in order by a mergesort whose comparison finds the common extension
 of two suffixes by binary search over prefix polynomial hashes; windows are then equal if they share enough to the
 right of the anchor, by that order, and to the left. Matches are verified byte by byte. Strings that occur more than
-HEAVY times are dealt window by window instead, so no bucket gathers all contexts of a very common string.
+HEAVY times are dealt window by window instead, with their bytes, so no bucket gathers all contexts of a very common
+string; there windows are found by 128-bit hashes and verified byte by byte too.
 """
 
 from __future__ import annotations
@@ -234,6 +235,27 @@ def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[first], starts[np.append(first[1:], len(starts)) - 1] if len(starts) else starts
 
 
+def equal_to_earlier(order: np.ndarray, joined: np.ndarray, rows) -> np.ndarray:  # noqa: ANN001
+    """Of things ordered by hash, then rank: which equal an earlier one by their bytes. joined: has the hash of the one before.
+
+    rows gives the bytes of some of them, one row each. Those of one hash whose bytes differ are told apart one by one.
+    """
+    later = joined.copy()
+    bad: list[int] = []
+    at = np.flatnonzero(joined)
+    for k in range(0, len(at), 20_000):
+        part = at[k : k + 20_000]
+        bad += part[(rows(order[part]) != rows(order[part - 1])).any(axis=1)].tolist()
+    heads = np.append(np.flatnonzero(~joined), len(order))
+    for h in np.unique(np.searchsorted(heads, bad, side="right") - 1).tolist() if bad else []:
+        seen: set[bytes] = set()
+        for p in range(heads[h], heads[h + 1]):
+            piece = rows(order[p : p + 1]).tobytes()
+            later[p] = piece in seen
+            seen.add(piece)
+    return later
+
+
 def later_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, heavy: int = HEAVY, id_col: str = "doc_id", text_col: str = "text"):
     """The blocks of documents, and packed runs of starts in each block of windows that also start earlier."""
     d, n = dealt(docs, id_col, text_col)
@@ -297,16 +319,17 @@ def later_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, heavy
             digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(whole[s : s + window]) for s in start.tolist()), _U).reshape(-1, 2)
             order = np.lexsort((start, digests[:, 1], digests[:, 0]))
             start, digests = start[order], digests[order]
-            head = np.ones(len(start), bool)
-            head[1:] = (digests[1:] != digests[:-1]).any(axis=1)
-            runs = _runs(np.sort(start[~head]))
-            gone.append(runs)
-            start, digests = start[head], digests[head]
+            joined = np.zeros(len(start), bool)
+            joined[1:] = (digests[1:] == digests[:-1]).all(axis=1)
+            later = equal_to_earlier(np.arange(len(start)), joined, lambda k: data[start[k][:, None] + np.arange(window)])  # noqa: B023
+            gone.append(_runs(np.sort(start[later])))
+            start, digests = start[~later], digests[~later]
             bounds = cuts(digests[:, 0], n)
             doc_of = np.searchsorted(starts, start, side="right") - 1
             for k, (i, j) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
                 if j > i:
-                    out.append((b, k, 2, _pack(digests[i:j, 0].copy(), digests[i:j, 1].copy(), owner[doc_of[i:j]], start[i:j].astype(np.uint32))))
+                    body = b"".join(whole[s : s + window] for s in start[i:j].tolist())
+                    out.append((b, k, 2, _pack(digests[i:j, 0].copy(), digests[i:j, 1].copy(), owner[doc_of[i:j]], start[i:j].astype(np.uint32)) + body))
         if gone:
             out.append((b, b % n, 3, _pack(*(np.concatenate(v).astype(np.uint32) for v in zip(*gone, strict=True)))))
         return packed(out)
@@ -354,9 +377,12 @@ def later_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, heavy
         if crowd:
             block = np.repeat([x[0] for x in crowd], [len(x[2]) for x in crowd])
             h0, h1, owner, start = (np.concatenate([x[i] for x in crowd]) for i in range(2, 6))
+            body = np.frombuffer(b"".join(x[6] for x in crowd), np.uint8).reshape(-1, window)
             order = np.lexsort((start, block, owner, h1, h0))
+            joined = np.zeros(len(order), bool)
+            joined[1:] = (h0[order][1:] == h0[order][:-1]) & (h1[order][1:] == h1[order][:-1])
             later = np.zeros(len(order), bool)
-            later[order[1:]] = (h0[order][1:] == h0[order][:-1]) & (h1[order][1:] == h1[order][:-1])
+            later[order] = equal_to_earlier(order, joined, lambda k: body[k])
             for b in np.unique(block[later]).tolist():
                 gone.setdefault(b, []).append(_runs(np.sort(start[later & (block == b)].astype(np.int64))))
         k = int(bucket.column("bucket")[0].as_py())

@@ -165,6 +165,12 @@ def test_suffix_dedup(spark, heavy):
     assert as_sorted(suffixes.drop_later_copies(d, heavy=heavy).collect()) == as_sorted(plain_drop_bytes(rows, suffixes.WINDOW))
 
 
+def test_windows_of_one_hash_are_told_apart():
+    body = np.frombuffer(b"aabbaaccbbaa", np.uint8).reshape(-1, 2)
+    joined = np.array([False, True, True, False, True, True])
+    assert suffixes.equal_to_earlier(np.arange(6), joined, lambda k: body[k]).tolist() == [False, False, True, False, False, False]
+
+
 def test_suffix_order_is_lexicographic():
     data = (b"banana bandana " * 9)[:100]
     text = suffixes.Suffixes(data)
