@@ -17,10 +17,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, id_and_text, pick, table
+from .common import documents, id_and_text, pick, table, written
 
 #: The models are fitted on at most TRAINING_ROWS labelled documents, their earlier probabilities on FOLDS folds.
 TRAINING_ROWS, FOLDS = 8000, 5
@@ -136,45 +136,24 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def _part(x: np.ndarray) -> np.ndarray:
-    return x * np.log(np.maximum(x, 1e-300))
-
-
-def selected(mark: np.ndarray, owner: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Indexes of the marks that tell positives from negatives best, by G2 of presence; one mark twice or more in all."""
-    size = int(mark.max()) + 1 if len(mark) else 0
-    pos = np.bincount(mark, weights=y[owner], minlength=size)
-    both = np.bincount(mark, minlength=size).astype(float)
-    n, n1 = float(len(y)), float(y.sum())
-    neg, n0 = both - pos, n - n1
-    g2 = 2 * (_part(pos) + _part(neg) + _part(n1 - pos) + _part(n0 - neg) - _part(both) - _part(n - both) + _part(np.array(n)) - _part(np.array(n1)) - _part(np.array(n0)))
-    good = np.flatnonzero((g2 >= LEAST_G2) & (both >= 2))
-    return np.sort(good[np.argsort(-g2[good], kind="stable")[:MARKS]])
-
-
-def fit_linear(names: np.ndarray, mark: np.ndarray, owner: np.ndarray, earlier: np.ndarray, y: np.ndarray, miss_weight: float = 1.0) -> Linear:
+def fit_linear(rows: list[np.ndarray], take: np.ndarray, earlier: np.ndarray, y: np.ndarray, miss_weight: float = 1.0) -> Linear:
     """Newton's steps on the penalised log loss, twice, without the light marks the second time; deterministic.
 
-    Without positives nothing is positive.
-
-    mark and owner list which row has which mark; names numbers the marks as Marks does.
+    rows has each row's marks, take those that the model may use, both sorted. Without positives nothing is positive.
     """
     if not y.any():
         return Linear({}, -35.0, np.zeros(earlier.shape[1]))
-    take = selected(mark, owner, y)
-    w = _newton(mark, owner, earlier, y, take, miss_weight)
+    w = _newton(rows, take, earlier, y, miss_weight)
     take = take[np.abs(w[: len(take)]) >= LEAST_WEIGHT]
-    w = _newton(mark, owner, earlier, y, take, miss_weight)
-    return Linear(dict(zip(names[take].tolist(), w[: len(take)].tolist(), strict=True)), float(w[-1]), w[len(take) : -1])
+    w = _newton(rows, take, earlier, y, miss_weight)
+    return Linear(dict(zip(take.tolist(), w[: len(take)].tolist(), strict=True)), float(w[-1]), w[len(take) : -1])
 
 
-def _newton(mark: np.ndarray, owner: np.ndarray, earlier: np.ndarray, y: np.ndarray, take: np.ndarray, miss_weight: float) -> np.ndarray:
+def _newton(rows: list[np.ndarray], take: np.ndarray, earlier: np.ndarray, y: np.ndarray, miss_weight: float) -> np.ndarray:
     """Weights of the marks taken, the earlier probabilities and the bias."""
-    place = np.searchsorted(take, mark)
-    hit = np.flatnonzero(place < len(take))
-    hit = hit[take[place[hit]] == mark[hit]]
     x = np.zeros((len(y), len(take) + earlier.shape[1] + 1))
-    x[owner[hit], place[hit]] = 1
+    for i, marks in enumerate(rows):
+        x[i, : len(take)] = np.isin(take, marks, assume_unique=True)
     x[:, len(take) : -1] = earlier
     x[:, -1] = 1
     cost = np.where(y > 0, miss_weight, 1.0)
@@ -194,23 +173,22 @@ def _newton(mark: np.ndarray, owner: np.ndarray, earlier: np.ndarray, y: np.ndar
     return w
 
 
-def fit_chain(marks: list[np.ndarray], labels: np.ndarray, folds: np.ndarray, miss_weights: tuple[float, ...] = MISS_WEIGHTS) -> list[Linear]:
-    """One model per category; labels has a column for each, folds a number below FOLDS for each row."""
-    sizes = np.array([len(m) for m in marks], np.int64)
-    names, mark = np.unique(np.concatenate(marks) if sizes.sum() else np.zeros(0, np.int64), return_inverse=True)
-    owner = np.repeat(np.arange(len(marks)), sizes)
+def fit_chain(marks: list[np.ndarray], labels: np.ndarray, folds: np.ndarray, chosen: dict[tuple[int, int], np.ndarray], miss_weights: tuple[float, ...] = MISS_WEIGHTS) -> list[Linear]:
+    """One model per category; labels has a column for each, folds a number below FOLDS for each row.
+
+    chosen gives the marks for each category and each fold left out, -1 for none.
+    """
     models: list[Linear] = []
     earlier = np.zeros((len(marks), 0))
     for k in range(labels.shape[1]):
         y = labels[:, k].astype(float)
-        models.append(fit_linear(names, mark, owner, earlier, y, miss_weights[k]))
+        models.append(fit_linear(marks, chosen[k, -1], earlier, y, miss_weights[k]))
         if k + 1 < labels.shape[1]:
             held_out = np.zeros(len(marks))
             for fold in range(FOLDS):
-                inside = folds != fold
-                own, number = inside[owner], np.cumsum(inside) - 1
-                m = fit_linear(names, mark[own], number[owner[own]], earlier[inside], y[inside], miss_weights[k])
-                for i in np.flatnonzero(~inside):
+                inside = np.flatnonzero(folds != fold)
+                m = fit_linear([marks[i] for i in inside], chosen[k, fold], earlier[inside], y[inside], miss_weights[k])
+                for i in np.flatnonzero(folds == fold):
                     held_out[i] = _sigmoid(m.margin(set(marks[i].tolist()), earlier[i]))
             earlier = np.column_stack([earlier, held_out])
     return models
@@ -227,33 +205,71 @@ def known(models: list[Linear]) -> set[int]:
     return {k for m in models for k in m.weights}
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> pa.Table:
-    """doc_id, quality, toxic, marks of at most `rows` labelled documents, those of least hash; each doc_id once.
+def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
+    """doc_id, fold, y (1 or 0 for each category), marks of at most `rows` labelled documents, those of least hash.
 
-    The chosen ids are few by that bound and are broadcast. Of rows that share one, that of least text is taken, on the
-    executors and before the shuffle, so that no more than `rows` rows, of hashed marks only, come to the driver.
+    Each doc_id comes once. The chosen ids are few by that bound and are broadcast; of rows that share one, that of
+    least text is taken, before the shuffle where rows meet in a task.
     """
     labels = pick(labels, doc_id="doc_id", quality="quality", toxic="toxic").dropna().groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    y = F.array((F.col("quality") == 0).cast("int"), (F.col("toxic") == 1).cast("int"))
+    chosen = chosen.select(F.col("doc_id").cast("long").alias("doc_id"), F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)).cast("int").alias("fold"), y.alias("y"))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = Marks()
         for batch in batches:
             found = [np.sort(np.fromiter(marks(t), np.int64)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), batch.column("toxic"), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "quality", "toxic", "marks"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "fold", "y")), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "fold", "y", "marks"])
+
+    once = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "fold", "y").agg(F.min("text").alias("text"))
+    return written(once.mapInArrow(mark, "doc_id long, fold int, y array<int>, marks array<long>"))
+
 
-    joined = docs.join(F.broadcast(chosen.select("doc_id", F.col("quality").cast("long").alias("quality"), F.col("toxic").cast("long").alias("toxic"))), "doc_id")
-    once = joined.groupBy("doc_id", "quality", "toxic").agg(F.min("text").alias("text"))
-    return once.mapInArrow(mark, "doc_id long, quality long, toxic long, marks array<long>").toArrow().sort_by("doc_id")
+def chosen_marks(sample: DataFrame) -> dict[tuple[int, int], np.ndarray]:
+    """For each category and each fold left out (-1: none) the marks that tell positives from negatives best, by G2 of presence."""
+    wanted = [(k, fold) for k in range(len(CATEGORIES)) for fold in range(-1, FOLDS if k + 1 < len(CATEGORIES) else 0)]
+
+    def counts(k: int, fold: int) -> tuple[Column, Column]:
+        """How many rows outside the fold, and how many positive ones."""
+        outside = (F.col("fold") != fold).cast("long")
+        return F.sum(outside), F.sum(outside * F.col("y")[k])
+
+    sums = [c.alias(f"{name}{i}") for i, w in enumerate(wanted) for name, c in zip(("both", "pos"), counts(*w), strict=True)]
+    total = sample.agg(*sums).first()
+    by_mark = written(sample.select("fold", "y", F.explode("marks").alias("mark")).groupBy("mark").agg(*sums, F.count("*").alias("rows")).where("rows >= 2").drop("rows"))
+
+    def part(x: Column) -> Column:
+        return F.when(x > 0, x * F.log(x)).otherwise(0.0)
+
+    best: dict[tuple[int, int], np.ndarray] = {}
+    for i, w in enumerate(wanted):
+        n, n1 = (F.lit(float(total[f"{c}{i}"] or 0)) for c in ("both", "pos"))
+        both, pos = (F.col(f"{c}{i}").cast("double") for c in ("both", "pos"))
+        inside = part(pos) + part(both - pos) + part(n1 - pos) + part(n - n1 - both + pos)
+        g2 = 2 * (inside - part(both) - part(n - both) - part(n1) - part(n - n1) + part(n))
+        rows = by_mark.select("mark", F.round(g2, 6).alias("g2"), both.alias("both")).where((F.col("g2") >= LEAST_G2) & (F.col("both") >= 2))
+        best[w] = np.sort(np.array([r.mark for r in rows.orderBy(F.desc("g2"), "mark").limit(MARKS).collect()], np.int64))
+    return best
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> list[Linear]:
-    """The chain's models. Labels without doc_id, quality or toxic are left out; a doc_id labelled twice counts once."""
+    """The chain's models. Labels without doc_id, quality or toxic are left out; a doc_id labelled twice counts once.
+
+    Marks are counted and chosen on the executors; of the sample only what the models may use comes to the driver.
+    """
     sample = training_sample(id_and_text(docs), labels, rows)
-    marks = [np.asarray(x.values) for x in sample["marks"]]
-    quality, toxic = (sample[c].to_numpy() for c in ("quality", "toxic"))
-    folds = np.array([zlib.crc32(str(i).encode()) % FOLDS for i in sample["doc_id"].to_pylist()], np.int64)
-    return fit_chain(marks, np.column_stack([quality == 0, toxic == 1]).reshape(len(marks), 2), folds)
+    chosen = chosen_marks(sample)
+    some = np.unique(np.concatenate(list(chosen.values())))
+
+    def use(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.intersect1d(np.asarray(x.values), some, assume_unique=True) for x in batch.column("marks")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "fold", "y")), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "fold", "y", "marks"])
+
+    found = sample.mapInArrow(use, "doc_id long, fold int, y array<int>, marks array<long>").toArrow().sort_by("doc_id")
+    marks = [np.asarray(x.values) for x in found["marks"]]
+    return fit_chain(marks, np.array(found["y"].to_pylist()).reshape(-1, len(CATEGORIES)), found["fold"].to_numpy(), chosen)
 
 
 def score(docs: DataFrame, models: list[Linear], threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -225,6 +225,19 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(r.toxic for r in toxic) >= 0.8 * len(toxic)
 
 
+def test_toxicity_with_more_labels(spark):
+    """Ten times the labels of the test before: nearly all toxic documents are found, and next to no others."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    inside = F.pmod(F.xxhash64("doc_id"), F.lit(4)) > 0
+    models = toxicity.train(docs, labels.where(inside))
+    held_out = labels.where(~inside).select("doc_id", F.col("toxic").alias("truth"))
+    got = toxicity.score(docs.join(held_out.select("doc_id"), "doc_id"), models).join(held_out, "doc_id").collect()
+    toxic, clean = ([r for r in got if r.truth == k] for k in (1, 0))
+    assert sum(r.toxic for r in toxic) >= 0.9 * len(toxic)
+    assert sum(r.toxic for r in clean) <= 0.02 * len(clean)
+
+
 def test_toxicity_of_awkward_rows(spark, awkward, empty):
     labels = spark.createDataFrame([(5, 1, 0), (7, 0, 1), (7, 0, 1), (None, 1, 1), (8, None, 1), (999, 0, 0)], "doc_id long, quality int, toxic int")
     assert toxicity.score(awkward, toxicity.train(awkward, labels)).count() == len(awkward_rows())
