@@ -58,12 +58,56 @@ def transpose_cells(cells: DataFrame) -> DataFrame:
     return cells.select(F.col("c").alias("r"), F.col("r").alias("c"), "v")
 
 
+#: The widest table that can be turned: a sheet has no more columns.
+MOST_COLUMNS = 1 << 14
+
+
+def transpose_table(df: DataFrame) -> DataFrame:
+    """Rows become columns c0, c1, ... The old rows are columns then, so they must be no more than a sheet has columns."""
+    cols = values(df)
+    rows = [r[0] for r in df.select("r").distinct().orderBy("r").limit(MOST_COLUMNS + 1).collect()]
+    if len(rows) > MOST_COLUMNS:
+        raise ValueError(f"a table of over {MOST_COLUMNS} rows can't be transposed")
+    kind = "string" if len({df.schema[c].dataType for c in cols}) > 1 else df.schema[cols[0]].dataType
+    cells = df.select(F.col("r").alias("_old"), F.posexplode(F.array(*(F.col(c).cast(kind) for c in cols))).alias("r", "v"))
+    turned = cells.groupBy("r").pivot("_old", rows).agg(F.first("v"))
+    return turned.toDF("r", *(f"c{i}" for i in range(len(rows))))
+
+
 @register("redim")
 def redim(df: DataFrame, scalar=None, cell=None, row=None, col=None, table=None) -> DataFrame:  # noqa: ANN001
-    """A row, column or table with the number of dimensions asked for: 1 flattens, 2 and none leave the table."""
-    shape = col if len(values(df)) == 1 else table
-    want = shape[0] if isinstance(shape, list) else shape
-    return flatten(df) if want == 1 else df
+    """The captured rectangle with the number of dimensions asked for by its shape: n, or [n, transpose].
+
+    Shapes are a cell (scalar and cell alike, as a capture of one value is one), a row, a column and a table. 2 and None
+    leave a table of rows; 1 lists the values in reading order; 0 is the value alone and an error if there are more.
+    Dimensions above 2 have no form as a table and are an error.
+    """
+    height, width = df.agg(F.count_distinct("r")).first()[0], len(values(df))
+    want = (cell if cell is not None else scalar) if height <= 1 and width == 1 else row if height <= 1 else col if width == 1 else table
+    n, turn = (want[0], bool(want[1]) if len(want) > 1 else False) if isinstance(want, (list, tuple)) else (want, False)
+    if n not in (None, 0, 1, 2):
+        raise ValueError(f"{n} dimensions can't be had of a table")
+    if turn:
+        df = transpose_table(df)
+    if n == 1:
+        return flatten(df)
+    if n == 0:
+        if height > 1 or width > 1:
+            raise ValueError(f"{height} x {width} values are no scalar")
+        return df.select(F.col(values(df)[0]).alias("value"))
+    return df
+
+
+@register("xlwings_dims")
+def usual_dims(df: DataFrame) -> DataFrame:
+    """A cell as it is, rows and columns as lists, tables as tables."""
+    return redim(df, 0, 0, 1, 1, 2)
+
+
+@register("numpy")
+def arrays(df: DataFrame, dtype: str = "double") -> DataFrame:
+    """One array of numbers for each row, in order of the columns; what isn't a number is null."""
+    return df.select("r", F.array(*(F.expr(f"try_cast(`{c}` as {dtype})") for c in values(df))).alias("value"))
 
 
 @register("dict")

@@ -22,10 +22,11 @@ def number_rows(df: DataFrame, key: str, to: str = "r", slots: int = 1024) -> Da
     """0-based place of each row in the order of a whole-number key.
 
     Rows are numbered inside slots of the key's range, which run in parallel, and shifted by the sizes of the slots before.
+    Rows without a key come first.
     """
     low, high = df.agg(F.min(key), F.max(key)).first()
     width = max(1, -(-((high or 0) - (low or 0) + 1) // slots))
-    slotted = df.withColumn("_slot", F.floor((F.col(key) - F.lit(low or 0)) / width).cast("int"))
+    slotted = df.withColumn("_slot", F.coalesce(F.floor((F.col(key) - F.lit(low or 0)) / width).cast("int"), F.lit(-1)))
     before = F.sum("_n").over(Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1))
     sizes = slotted.groupBy("_slot").agg(F.count("*").alias("_n")).select("_slot", F.coalesce(before, F.lit(0)).alias("_before"))
     place = F.row_number().over(Window.partitionBy("_slot").orderBy(key)) - 1 + F.col("_before")

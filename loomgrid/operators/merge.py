@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,34 @@ def maps(a: Column, b: Column) -> Column:
     return F.map_from_entries(F.transform(keys, lambda k: F.struct(k.alias("key"), F.coalesce(F.try_element_at(b, k), F.try_element_at(a, k)).alias("value"))))
 
 
+def objects(a: Column, b: Column) -> Column:
+    """JSON texts of nested objects, b over a: keys of both at every depth; b's lists and scalars win unless null.
+
+    A null or unreadable text lets the other one show. Nested schema-less objects need an Arrow-batched function.
+    """
+
+    def read(text: str | None) -> object:
+        try:
+            return json.loads(text) if text is not None else None
+        except ValueError:
+            return None
+
+    def over(x: object, y: object) -> object:
+        return overlay([x, y]) if isinstance(x, dict) and isinstance(y, dict) else x if y is None else y
+
+    @F.pandas_udf("string")
+    def merged(below: pd.Series, above: pd.Series) -> pd.Series:
+        both = [over(read(x), read(y)) for x, y in zip(below, above, strict=True)]
+        return pd.Series([None if x is None else json.dumps(x, ensure_ascii=False, separators=(",", ":")) for x in both], dtype=object)
+
+    return merged(a, b)
+
+
+def scalar(a: Column, b: Column) -> Column:
+    """struct(value, violation): b unless null, else a; a violation where both are null."""
+    return F.struct(F.coalesce(b, a).alias("value"), F.when(a.isNull() & b.isNull(), F.lit("neither model has a value")).alias("violation"))
+
+
 def sequence(a: Column, b: Column) -> Column:
     return F.coalesce(b, a)
 

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrid.functions import text as fx
+from loomgrid.functions.names import first_line
 from loomgrid.functions.paths import Rules, join_column, relocate, rename_columns, step_alias
 from loomgrid.functions.refs import Cell, resolve
+from loomgrid.functions.steps import Step, project, steps_from
 from loomgrid.operators import filters, merge
 from loomgrid.operators.components import Assembly, Component
 from loomgrid.operators.grid import Sheet, cells_of, number_rows
@@ -163,9 +165,10 @@ def q_negative_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one(spark, r=r, c=c)
 
 
-@query(f"WITH {GRID}, s AS (SELECT r, c FROM (SELECT unnest(range(0, 6))::INT AS r), (SELECT unnest(range(0, 5))::INT AS c)) SELECT (s.r * 5 + s.c)::INT AS i, v AS value FROM s LEFT JOIN g ON s.r = g.r AND s.c = g.c")
+@query(f"WITH {GRID}, e AS (SELECT max(r) AS r2, max(c) AS c2 FROM g), s AS (SELECT r, c, c2 FROM (SELECT unnest(range(0, r2 + 1))::INT AS r, c2 FROM e), (SELECT unnest(range(0, c2 + 1))::INT AS c FROM e)) SELECT (s.r * (c2 + 1) + s.c)::INT AS i, v AS value FROM s LEFT JOIN g ON s.r = g.r AND s.c = g.c")
 def q_redim_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filters.flatten(grid(spark, sf_dir).read((0, 0, 5, 4)))
+    sheet = grid(spark, sf_dir)
+    return filters.flatten(sheet.read((0, 0, *sheet.margins[1])))
 
 
 @query(f"WITH {GRID} SELECT c AS r, r AS c, v FROM g")
@@ -173,15 +176,16 @@ def q_redim_transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.transpose_cells(grid(spark, sf_dir).cells)
 
 
-@query("SELECT c_custkey AS id, c_acctbal AS balance FROM customer WHERE c_custkey < 50")
+@query("SELECT c_custkey AS id, c_acctbal AS balance FROM customer")
 def q_df_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rect = customer_sheet(spark, sf_dir).capture("#C3:G53")
+    rect = customer_sheet(spark, sf_dir).capture("#A1(DR):..(DR)")
     return filters.frame(rect, names=["id", "name", "nation", "balance", "segment"], usecols=["id", "balance"]).drop("r")
 
 
-@query(f"WITH {GRID}, s AS (SELECT unnest(range(0, 40))::INT AS r) SELECT s.r, (last_value(v IGNORE NULLS) OVER (ORDER BY s.r))::BIGINT AS k FROM s LEFT JOIN g ON s.r = g.r AND c = 0")
+@query(f"WITH {GRID}, s AS (SELECT unnest(range(0, (SELECT max(r) FROM g) + 1))::INT AS r) SELECT s.r, (last_value(v IGNORE NULLS) OVER (ORDER BY s.r))::BIGINT AS k FROM s LEFT JOIN g ON s.r = g.r AND c = 0")
 def q_df_index_ffill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filters.frame(grid(spark, sf_dir).read((0, 0, 39, 1)), header=None, names=["k", "x"], index_col=0, usecols=["k"], dtype={"k": "bigint"})
+    sheet = grid(spark, sf_dir)
+    return filters.frame(sheet.read((0, 0, sheet.margins[1][0], 1)), header=None, names=["k", "x"], index_col=0, usecols=["k"], dtype={"k": "bigint"})
 
 
 @query("SELECT c_mktsegment AS key, arg_max(c_name, c_custkey) AS value FROM customer GROUP BY 1")
@@ -198,9 +202,9 @@ def q_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.sort_rows(rows).select("n_name", "n_regionkey", F.row_number().over(Window.orderBy("n_regionkey", "n_name")).alias("place"))
 
 
-@query("SELECT c_custkey::VARCHAR AS key, c_name AS value FROM customer WHERE c_custkey < 9 UNION ALL SELECT 'c_custkey', 'c_name'")
+@query("SELECT c_custkey::VARCHAR AS key, c_name AS value FROM customer UNION ALL SELECT 'c_custkey', 'c_name'")
 def q_pipe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return customer_sheet(spark, sf_dir).capture('#C3:D12:["pipe", ["odict"]]')
+    return customer_sheet(spark, sf_dir).capture('#A1(DR):..(DR):["pipe", ["odict"]]')
 
 
 @query("SELECT (c_custkey % 20)::INT AS k, count(*)::BIGINT AS n FROM customer GROUP BY 1")
@@ -434,3 +438,82 @@ def q_camel_to_snake(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_ensure_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(F.col("p_partkey") % 2 == 0, F.concat("p_name", F.lit(".CSV"))).otherwise(F.col("p_name"))
     return load(spark, sf_dir, "part").select("p_partkey", fx.with_extension(name, "csv").alias("file"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN false WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN NULL ELSE true END AS b FROM orders""")
+def q_truth_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.element_at(F.array(F.lit("\tno\n"), F.lit("\r ON"), F.lit(" \x0b"), F.lit(None).cast("string"), F.lit("n o")), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    return load(spark, sf_dir, "orders").select("o_orderkey", fx.truth(s).alias("b"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'httpserver' WHEN 1 THEN 'co2_dice_app' WHEN 2 THEN 'my_urlpath' ELSE 'part_' || p_partkey END AS snake FROM part")
+def q_snake_capital_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.element_at(F.array(F.lit("HTTPServer"), F.lit("CO2DiceApp"), F.lit("myURLPath"), F.concat(F.lit("Part_"), F.col("p_partkey").cast("string"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return load(spark, sf_dir, "part").select("p_partkey", fx.snake(s).alias("snake"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'foo.xlt' WHEN 1 THEN 'foo.xl^.xls' WHEN 2 THEN 'a.b/foo.xls' WHEN 3 THEN 'foo.XLSX' ELSE 'foo.xls' END AS file FROM part")
+def q_ensure_ext_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.element_at(F.array(*map(F.lit, ("foo.xlt", "foo.xl^", "a.b/foo", "foo.XLSX", "foo."))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return load(spark, sf_dir, "part").select("p_partkey", fx.with_extension(name, ".xls", r"\.xl\w{1,2}", is_regex=True).alias("file"))
+
+
+@query("SELECT c_custkey, '{\"a~b\":[1,' || c_nationkey || '],\"n\":{\"x/y\":{\"v\":' || c_custkey || '}}}' AS doc FROM customer")
+def q_pointer_put(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Appends to a list, makes objects where nothing is, and replaces a scalar in the way."""
+    doc = F.lit('{"a~b":[1],"n":5}')
+    doc = fx.pointer_put(doc, "/a~0b/-", F.col("c_nationkey").cast("string"))
+    doc = fx.pointer_put(doc, "/n/x~1y/v", F.col("c_custkey").cast("string"))
+    return load(spark, sf_dir, "customer").select("c_custkey", doc.alias("doc"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '{\"a\":{\"x\":1,\"y\":' || c_nationkey || ',\"z\":3},\"l\":[9]}' ELSE '{\"a\":{\"x\":1,\"y\":2},\"l\":[1,2]}' END AS model FROM customer")
+def q_merge_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested objects overlaid: keys of both, a null lets the value below show, a list replaces the one below."""
+    over = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit('{"a":{"x":null,"y":'), F.col("c_nationkey").cast("string"), F.lit(',"z":3},"l":[9]}')))
+    return load(spark, sf_dir, "customer").select("c_custkey", merge.objects(F.lit('{"a":{"x":1,"y":2},"l":[1,2]}'), over).alias("model"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS value, CASE WHEN c_custkey % 2 <> 0 AND c_custkey % 3 <> 0 THEN 'neither model has a value' END AS violation FROM customer")
+def q_merge_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment"))
+    b = F.when(F.col("c_custkey") % 2 == 0, F.col("c_name"))
+    return load(spark, sf_dir, "customer").select("c_custkey", merge.scalar(a, b).alias("s")).select("c_custkey", "s.*")
+
+
+@query('SELECT c_custkey AS id, c_name AS "person/name", c_mktsegment AS c_mktsegment FROM customer')
+def q_steps_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = Step("", [("/c_custkey", "id"), ("/c_name", "person/name")])
+    _ = steps.c_custkey, steps.c_name, steps.c_mktsegment
+    return project(load(spark, sf_dir, "customer"), steps)
+
+
+@query("SELECT c_custkey AS id, c_acctbal AS balance FROM customer")
+def q_steps_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = Step("", [("/c_custkey", "id"), ("/~c_acct(.*)", r"\1ance")])
+    _ = steps.c_custkey._tag("out"), steps.c_acctbal._tag("out", "money"), steps.c_name._tag("in")
+    return project(load(spark, sf_dir, "customer"), steps, tag="out")
+
+
+@query("SELECT '/' || replace(n_name, ' ', '_') AS path, lower(n_name) AS name, n_regionkey::INT AS region FROM nation")
+def q_steps_from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = load(spark, sf_dir, "nation").select(F.concat(F.lit("/"), F.replace("n_name", F.lit(" "), F.lit("_"))).alias("paths"), F.lower("n_name").alias("names"), F.col("n_regionkey").cast("int").alias("region"))
+    steps = steps_from(rules)
+    rows = [(path, name, getattr(steps, path[1:])._region) for path, name in steps._derrive_map_tuples() if path]
+    return spark.createDataFrame(rows, "path string, name string, region int")
+
+
+@query("SELECT doc_id, trim(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1]) AS line FROM documents")
+def q_first_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "documents").select("doc_id", first_line(F.col("text")).alias("line"))
+
+
+@query(f"WITH {GRID} SELECT c AS r, max(CASE WHEN r = 0 THEN v END) AS c0, max(CASE WHEN r = 1 THEN v END) AS c1 FROM (SELECT unnest(range(0, 5))::INT AS c) LEFT JOIN g USING (c) GROUP BY 1")
+def q_redim_turned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.redim(grid(spark, sf_dir).read((0, 0, 1, 4)), table=[2, True])
+
+
+@query("SELECT n_nationkey::INT AS r, n_regionkey::DOUBLE AS a, NULL::DOUBLE AS b FROM nation")
+def q_numpy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("r"), F.col("n_regionkey").cast("string").alias("c0"), F.col("n_name").alias("c1"))
+    return filters.arrays(rows).select("r", F.col("value")[0].alias("a"), F.col("value")[1].alias("b"))
