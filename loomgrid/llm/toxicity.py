@@ -24,7 +24,6 @@ from .common import documents, id_and_text, pick, table, written
 
 #: The models are fitted on at most TRAINING_ROWS labelled documents, their earlier probabilities on FOLDS folds.
 TRAINING_ROWS, FOLDS = 8000, 5
-TRAINING_TASKS = 12
 #: A model takes the MARKS marks of highest log-likelihood ratio (G2), of at least LEAST_G2; those that weigh less than
 #: LEAST_WEIGHT are left out again.
 MARKS, LEAST_G2, PENALTY, LEAST_WEIGHT = 512, 6.0, 0.3, 0.1
@@ -227,8 +226,6 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROW
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "fold", "y")), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "fold", "y", "marks"])
 
     once = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "fold", "y").agg(F.min("text").alias("text"))
-    # So few bytes would be one task; taking marks is slow, and the later steps have a task for each file written here.
-    once = once.repartition(TRAINING_TASKS, "doc_id")
     return written(once.mapInArrow(mark, "doc_id long, fold int, y array<int>, marks array<long>"))
 
 
