@@ -7,7 +7,9 @@ repeated key costs a bucket one entry per block, however often it occurs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import inspect
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,31 @@ def rows_of(block: pa.Table) -> tuple[pa.Array, list[bytes]]:
     return ids, [x or b"" for x in t.column("text").cast(pa.binary()).to_pylist()]
 
 
+def give_back() -> None:
+    """Returns this worker's free memory to the system; else it stays with the idle worker beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
+def tidy(step: Callable) -> Callable:
+    """The step on one or two tables, with its free memory given back after each group."""
+
+    def one(a: pa.Table) -> pa.Table:
+        out = step(a)
+        give_back()
+        return out
+
+    def two(a: pa.Table, b: pa.Table) -> pa.Table:
+        out = step(a, b)
+        give_back()
+        return out
+
+    return one if len(inspect.signature(step).parameters) == 1 else two
+
+
 def block_of(table: pa.Table) -> int:
     return table.column("block")[0].as_py()
 

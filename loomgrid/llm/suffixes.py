@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from .blocks import PACKED, block_of, cuts, dealt, entries, packed, rows_of
+from .blocks import PACKED, block_of, cuts, dealt, entries, packed, rows_of, tidy
 from .common import documents
 
 WINDOW, GRAM = 100, 36
@@ -49,13 +49,16 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
     """Sums of value times power over each prefix, modulo 2^64; a string's hash is a difference over the power at its start."""
     out = np.zeros(len(data) + 1, _U)
-    np.cumsum(VALUES[data] * powers(len(data))[0][: len(data)], out=out[1:])
-    return out
+    np.take(VALUES, data, out=out[1:], mode="clip")
+    out[1:] *= powers(len(data))[0][: len(data)]
+    return np.cumsum(out, out=out)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(32))) * _U(0xD6E8FEB86659FD93)
-    return x ^ (x >> _U(29))
+    x = x ^ (x >> _U(32))
+    x *= _U(0xD6E8FEB86659FD93)
+    x ^= x >> _U(29)
+    return x
 
 
 def least_before(x: np.ndarray, width: int) -> np.ndarray:
@@ -66,8 +69,8 @@ def least_before(x: np.ndarray, width: int) -> np.ndarray:
     padded[: len(x)] = x
     rows = padded.reshape(-1, width)
     ahead = np.minimum.accumulate(rows, axis=1).ravel()
-    back = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
+    np.minimum.accumulate(rows[:, ::-1], axis=1, out=rows[:, ::-1])
+    return np.minimum(padded[:n], ahead[width - 1 : width - 1 + n])
 
 
 def anchors(data: np.ndarray, starts: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -83,9 +86,16 @@ def anchors(data: np.ndarray, starts: np.ndarray, window: int, gram: int) -> tup
         b = min(a + STRETCH, total)
         part = data[a : b + window - 1]
         h = prefix_hashes(part)
-        g = mixed((h[gram:] - h[:-gram]) * powers(len(part))[1][: len(part) - gram + 1])
-        ranked = (g & ~_U((1 << 24) - 1)) | np.arange(len(g), dtype=_U)
-        at = (least_before(ranked, width) & _U((1 << 24) - 1)).astype(np.int64)
+        g = h[gram:] - h[:-gram]
+        del h
+        g *= powers(len(part))[1][: len(part) - gram + 1]
+        g = mixed(g)
+        ranked = g & ~_U((1 << 24) - 1)
+        ranked |= np.arange(len(g), dtype=_U)
+        at = least_before(ranked, width)
+        del ranked
+        at &= _U((1 << 24) - 1)
+        at = at.view(np.int64)
         ok = fits[a:b]
         where = np.flatnonzero(ok)
         if not len(where):
@@ -224,7 +234,7 @@ def _unpack(data: bytes, *kinds) -> list:
     for kind in kinds:
         out.append(np.frombuffer(data, kind, n, at))
         at += n * np.dtype(kind).itemsize
-    return [*out, data[at:]]
+    return [*out, memoryview(data)[at:]]
 
 
 def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -351,6 +361,7 @@ def later_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, heavy
             left, count, first = left.astype(np.int64), count.astype(np.int64), first.astype(np.int64)
             size = count + window - 1
             body, begin = b"".join(x[7] for x in light), np.cumsum(size) - size
+            light.clear()
             rank = np.empty(len(g), np.int64)
             rank[np.lexsort((first, block, owner))] = np.arange(len(g))
             lead: dict[tuple, int] = {}
@@ -358,6 +369,7 @@ def later_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, heavy
             for x in np.argsort(rank).tolist():  # equal contexts: all but the first place repeat it whole
                 key = (int(left[x]), body[begin[x] : begin[x] + size[x]])
                 same[x] = lead.setdefault(key, x)
+            del lead
             heads = np.flatnonzero(same == np.arange(len(g)))
             follow = np.flatnonzero(same != np.arange(len(g)))
             for x in follow.tolist():
@@ -378,6 +390,7 @@ def later_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, heavy
             block = np.repeat([x[0] for x in crowd], [len(x[2]) for x in crowd])
             h0, h1, owner, start = (np.concatenate([x[i] for x in crowd]) for i in range(2, 6))
             body = np.frombuffer(b"".join(x[6] for x in crowd), np.uint8).reshape(-1, window)
+            crowd.clear()
             order = np.lexsort((start, block, owner, h1, h0))
             joined = np.zeros(len(order), bool)
             joined[1:] = (h0[order][1:] == h0[order][:-1]) & (h1[order][1:] == h1[order][:-1])
@@ -391,10 +404,10 @@ def later_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, heavy
             out.append((b, k, 0, _pack(a.astype(np.uint32), z.astype(np.uint32))))
         return packed(out)
 
-    names = d.groupBy("block").applyInArrow(name, PACKED)
-    codes = names.groupBy("bucket").applyInArrow(count_names, PACKED)
-    contexts = d.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(gather, PACKED)
-    return d, contexts.groupBy("bucket").applyInArrow(settle, PACKED)
+    names = d.groupBy("block").applyInArrow(tidy(name), PACKED)
+    codes = names.groupBy("bucket").applyInArrow(tidy(count_names), PACKED)
+    contexts = d.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(tidy(gather), PACKED)
+    return d, contexts.groupBy("bucket").applyInArrow(tidy(settle), PACKED)
 
 
 def drop_later_copies(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, heavy: int = HEAVY, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -429,7 +442,7 @@ def drop_later_copies(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, h
             names.append("kept")
         return pa.Table.from_arrays(columns, names)
 
-    return d.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(remove, schema)
+    return d.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(tidy(remove), schema)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

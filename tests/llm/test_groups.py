@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -171,6 +172,16 @@ def test_windows_of_one_hash_are_told_apart():
     assert suffixes.equal_to_earlier(np.arange(6), joined, lambda k: body[k]).tolist() == [False, False, True, False, False, False]
 
 
+def test_anchors_memory():
+    data = np.random.default_rng(5).integers(0, 256, 2 * suffixes.STRETCH).astype(np.uint8)
+    suffixes.powers(suffixes.STRETCH + suffixes.WINDOW)
+    tracemalloc.start()
+    suffixes.anchors(data, np.array([0, len(data)]), suffixes.WINDOW, suffixes.GRAM)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 70 * suffixes.STRETCH
+
+
 def test_suffix_order_is_lexicographic():
     data = (b"banana bandana " * 9)[:100]
     text = suffixes.Suffixes(data)
