@@ -7,7 +7,6 @@ repeated key costs a bucket one entry per block, however often it occurs.
 
 from __future__ import annotations
 
-import ctypes
 import inspect
 from collections.abc import Callable, Iterator
 
@@ -16,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_count, id_and_text
+from .common import block_count, give_back, id_and_text
 
 BLOCK_BYTES = 2 << 20
 PACKED = "block int, bucket int, kind int, data binary"
@@ -37,15 +36,6 @@ def rows_of(block: pa.Table) -> tuple[pa.Array, list[bytes]]:
     return ids, [x or b"" for x in t.column("text").cast(pa.binary()).to_pylist()]
 
 
-def give_back() -> None:
-    """Returns this worker's free memory to the system; else it stays with the idle worker beside the executor's heap."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except AttributeError:  # not glibc
-        pass
-
-
 def tidy(step: Callable) -> Callable:
     """The step on one or two tables, with its free memory given back after each group."""
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -103,6 +106,34 @@ def row_numbered(df: DataFrame, name: str = "row") -> DataFrame:
     return placed.join(small(written(files)), "_path").select(*df.columns, (F.shiftleft("_file", 36) + F.col("_place")).alias(name))
 
 
+def give_back() -> None:
+    """Returns this worker's free memory to the system; else it stays with the idle worker beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
+def tidy_batches(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The step on a task's batches, with its free memory given back at the end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from step(batches)
+        give_back()
+
+    return run
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Executors collect their garbage and so return the heap that earlier jobs had grown; else it adds up beside the Python workers.
+
+    One small task for each core, so an executor may be passed by; nothing depends on it.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc")).alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def small(df: DataFrame) -> DataFrame:
     """Marks a written table for broadcast if its files are small enough; otherwise the join shuffles."""
     return F.broadcast(df) if estimated_bytes(df) <= BROADCAST_BYTES else df

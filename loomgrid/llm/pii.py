@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, id_and_text
+from .common import documents, id_and_text, tidy_batches
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -280,7 +280,7 @@ def labelled_zones(docs: DataFrame, limit: int = TRAINING_ZONES) -> list[tuple[s
             found = [z for text in batch.column("text").to_pylist() if text for z in pieces(text)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["zone"])
 
-    rows = docs.select("text").mapInArrow(take, "zone string").groupBy("zone").count().orderBy(F.xxhash64("zone"), "zone").limit(limit).collect()
+    rows = docs.select("text").mapInArrow(tidy_batches(take), "zone string").groupBy("zone").count().orderBy(F.xxhash64("zone"), "zone").limit(limit).collect()
     return [(r.zone, without_overlaps(base_spans(r.zone))) for r in rows]
 
 
@@ -336,7 +336,7 @@ def find_pii(docs: DataFrame, weights: np.ndarray | None = None, id_col: str = "
                 spans.append(joined(every))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
-    return d.mapInArrow(scan, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return d.mapInArrow(tidy_batches(scan), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def masked(text: str | None, weights: np.ndarray) -> str | None:

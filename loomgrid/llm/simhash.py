@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, id_and_text, small, written
+from .common import documents, id_and_text, small, tidy_batches, written
 from .components import stars
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 3
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fp = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64), pa.int64())], ["doc_id", "fp"])
 
-    return docs.mapInArrow(scan, "doc_id long, fp long")
+    return docs.mapInArrow(tidy_batches(scan), "doc_id long, fp long")
 
 
 def _expand(lo: np.ndarray, n: np.ndarray) -> np.ndarray:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, id_and_text, pick, table, written
+from .common import documents, id_and_text, pick, table, tidy_batches, written
 
 #: The models are fitted on at most TRAINING_ROWS labelled documents, their earlier probabilities on FOLDS folds.
 TRAINING_ROWS, FOLDS = 8000, 5
@@ -226,7 +226,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROW
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "fold", "y")), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "fold", "y", "marks"])
 
     once = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "fold", "y").agg(F.min("text").alias("text"))
-    return written(once.mapInArrow(mark, "doc_id long, fold int, y array<int>, marks array<long>"))
+    return written(once.mapInArrow(tidy_batches(mark), "doc_id long, fold int, y array<int>, marks array<long>"))
 
 
 def chosen_marks(sample: DataFrame) -> dict[tuple[int, int], np.ndarray]:
@@ -270,7 +270,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> list
             found = [np.intersect1d(np.asarray(x.values), some, assume_unique=True) for x in batch.column("marks")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "fold", "y")), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "fold", "y", "marks"])
 
-    found = sample.mapInArrow(use, "doc_id long, fold int, y array<int>, marks array<long>").toArrow().sort_by("doc_id")
+    found = sample.mapInArrow(tidy_batches(use), "doc_id long, fold int, y array<int>, marks array<long>").toArrow().sort_by("doc_id")
     marks = [np.asarray(x.values) for x in found["marks"]]
     return fit_chain(marks, np.array(found["y"].to_pylist()).reshape(-1, len(CATEGORIES)), found["fold"].to_numpy(), chosen)
 
@@ -290,7 +290,7 @@ def score(docs: DataFrame, models: list[Linear], threshold: float = THRESHOLD, i
             p = np.array(p).reshape(len(p), len(CATEGORIES))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(p[:, 1] >= threshold)], ["doc_id", "p_low_quality", "p_toxic", "toxic"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(scan, "doc_id long, p_low_quality double, p_toxic double, toxic boolean")
+    return id_and_text(docs, id_col, text_col).mapInArrow(tidy_batches(scan), "doc_id long, p_low_quality double, p_toxic double, toxic boolean")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

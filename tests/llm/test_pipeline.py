@@ -1,9 +1,12 @@
 """The pipeline's stages on rows without doc_id and rows that share one."""
 
+import weakref
+
 import pytest
 from llm_plain import as_sorted, prose
 
 import corpus_pipeline
+from loomgrid.llm import common
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -55,3 +58,32 @@ def test_near_copies_are_dropped_by_row(spark, folder):
     wordless = [r for r in got if not r[1]]
     assert len(wordless) == 1
     assert as_sorted(r for r in got if r[1]) == as_sorted(once[:4])
+
+
+def collections(spark):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+
+@pytest.mark.parametrize("stage", [corpus_pipeline.drop_near_copies, corpus_pipeline.drop_contaminated, corpus_pipeline.mask_personal_data, corpus_pipeline.mix_sources], ids=lambda f: f.__name__)
+def test_stages_begin_with_garbage_collected(spark, folder, stage):
+    docs = documents(spark, [(1, prose(1, 40), "web"), (2, prose(2, 40), "code")])
+    before = collections(spark)
+    stage(spark, docs, folder)
+    assert collections(spark) > before
+
+
+def test_a_step_leaves_nothing_behind(monkeypatch):
+    class Cache(set):
+        pass
+
+    left = []
+
+    def step(batches):
+        cache = Cache()
+        left.append(weakref.ref(cache))
+        yield from batches
+
+    monkeypatch.setattr(common, "give_back", lambda: left.append(left[0]()))
+    assert list(common.tidy_batches(step)([1, 2])) == [1, 2]
+    assert left[1:] == [None]
